@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,7 +39,7 @@ def _common(names: list[str]) -> dict[str, str]:
     }
 
 
-def decide_composed(aligned: DataFrame, task_mode: str | None) -> DataFrame:
+def decide_composed(aligned: DataFrame, task_mode: str | None, keep: Sequence[str] = ()) -> DataFrame:
     """Reject, insufficient evidence, review, else the mapped calibrated recommendation (P10)."""
     hard, soft = policy_domains(task_mode)
     names = aligned.columns
@@ -90,10 +92,6 @@ def decide_composed(aligned: DataFrame, task_mode: str | None) -> DataFrame:
         f" CASE WHEN {mapped} AND __mapped = 'insufficient_evidence'"
         f" THEN array('insufficient_evidence:unrecognized_calibrated_recommendation') ELSE {none} END)"
     )
-    return _select(df, rules, names)
-
-
-def _select(df: DataFrame, rules: str, names: list[str]) -> DataFrame:
     basis = case(
         [
             ("size(__hard) > 0", "'deterministic_hard_failure'"),
@@ -112,7 +110,7 @@ def _select(df: DataFrame, rules: str, names: list[str]) -> DataFrame:
             "policy_version": lit(ROUTING_POLICY_VERSION),
             "policy_rules_triggered": sorted_set(rules),
         },
-        ["case_id", "final_decision"],
+        ["case_id", "final_decision", *keep],
     )
 
 
@@ -290,7 +288,9 @@ def first_match_policy(contexts: DataFrame, policy: dict = VISIBLE_PANCREAS_POLI
     )
 
 
-def decide_by_policy(aligned: DataFrame, policy: dict = VISIBLE_PANCREAS_POLICY) -> DataFrame:
+def decide_by_policy(
+    aligned: DataFrame, policy: dict = VISIBLE_PANCREAS_POLICY, keep: Sequence[str] = ()
+) -> DataFrame:
     """Decisions of the first-match policy, rows without a match included (rule null)."""
     matched = first_match_policy(policy_context(aligned), policy)
     hard = "coalesce(rule_id IN (" + ", ".join(lit(r) for r in policy["hard_rules"]) + "), false)"
@@ -316,13 +316,23 @@ def decide_by_policy(aligned: DataFrame, policy: dict = VISIBLE_PANCREAS_POLICY)
             "matched_rule_name": "rule_name",
             "matched_rule_reason": "rule_reason",
         },
-        ["case_id"],
+        ["case_id", *keep],
     )
 
 
-def decide(aligned: DataFrame, task_mode: str | None) -> DataFrame:
+def decide(aligned: DataFrame, task_mode: str | None, keep: Sequence[str] = ()) -> DataFrame:
     """Final decisions of a run: policy for the organ task, composition otherwise."""
-    return decide_by_policy(aligned) if task_mode == "pancreas_only" else decide_composed(aligned, task_mode)
+    if task_mode == "pancreas_only":
+        return decide_by_policy(aligned, keep=keep)
+    return decide_composed(aligned, task_mode, keep)
+
+
+def with_decision(aligned: DataFrame, task_mode: str | None) -> DataFrame:
+    """Aligned rows plus their decision as a struct ``final``; narrow."""
+    inputs = [c for c in aligned.columns if c != "case_id"]
+    decided = decide(aligned, task_mode, inputs)
+    own = [c for c in decided.columns if c != "case_id" and c not in inputs]
+    return decided.select("case_id", *inputs, F.struct(*own).alias("final"))
 
 
 def decision_counts(decisions: DataFrame) -> DataFrame:

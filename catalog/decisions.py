@@ -10,6 +10,7 @@ from caseward.operators import compare as cp
 from caseward.operators import decisions as dc
 from caseward.operators import routing as rt
 from caseward.operators.align import align
+from caseward.operators.components import checkpointed
 from caseward.sources import derived_reports as dr
 from oracle_sql import decisions as od
 from oracle_sql.qc import query
@@ -42,6 +43,11 @@ def decisions(spark, sf, mode):
     return dc.decide(routed(spark, sf, mode), mode)
 
 
+def stored_decisions(spark, sf, mode):
+    """Decisions as the artifact a run leaves behind; lookups read this, not the rules."""
+    return checkpointed(decisions(spark, sf, mode))
+
+
 BOTH = "WHERE has_det OR has_cal"
 
 
@@ -327,7 +333,7 @@ def a04(spark, sf):
 )
 def v09(spark, sf):
     """Stored decisions tampered with on some keys against the recomputed ones."""
-    fresh = decisions(spark, sf, ORGAN).select("case_id", "final_decision", "matched_rule")
+    fresh = stored_decisions(spark, sf, ORGAN).select("case_id", "final_decision", "matched_rule")
     tampered = fresh.withColumn(
         "final_decision",
         F.expr("CASE WHEN CAST(substring(case_id, 2) AS BIGINT) % 127 = 11 THEN 'keep' ELSE final_decision END"),
@@ -345,6 +351,6 @@ def v09(spark, sf):
 def h06(spark, sf):
     """Cases per policy rule, with the action the rule stands for."""
     actions = {r[0]: r[2] for r in VISIBLE_PANCREAS_POLICY["rules"]}
-    counts = decisions(spark, sf, ORGAN).filter("matched_rule IS NOT NULL").groupBy("matched_rule").agg(F.count("*").alias("n"))
+    counts = stored_decisions(spark, sf, ORGAN).filter("matched_rule IS NOT NULL").groupBy("matched_rule").agg(F.count("*").alias("n"))
     action = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in actions.items())
     return counts.selectExpr("matched_rule AS rule", f"CASE matched_rule {action} END AS action", "n")

@@ -15,6 +15,7 @@ from caseward.operators import review as rv
 from caseward.operators import routing as rt
 from caseward.operators import decisions as dc
 from caseward.operators.align import align
+from caseward.operators.components import checkpointed
 from caseward.sources import derived_reports as dr
 from oracle_sql import decisions as od
 from oracle_sql.qc import query
@@ -37,16 +38,7 @@ def full_run(spark, sf, mode, labels=False):
     if labels:
         parts["labels"] = human_labels(spark, sf)
     rows = align(**parts)
-    routed = rt.with_routing(rows, mode)
-    decided = dc.decide(routed, mode)
-    return align_final(routed, decided, mode)
-
-
-def align_final(routed, decided, mode):
-    """Decisions as one more struct; the decision row is computed from the same row."""
-    fields = [c for c in decided.columns if c != "case_id"]
-    packed = decided.select("case_id", F.struct(*fields).alias("final"))
-    return routed.join(packed, "case_id")
+    return dc.with_decision(rt.with_routing(rows, mode), mode)
 
 
 def human_labels(spark, sf):
@@ -482,7 +474,7 @@ def _section(name: str, sql: str) -> str:
     ),
 )
 def m09(spark, sf):
-    return au.audit_report(full_run(spark, sf, LESION, labels=True), comparison(spark, sf))
+    return au.audit_report(checkpointed(full_run(spark, sf, LESION, labels=True)), comparison(spark, sf))
 
 
 @register(
@@ -497,7 +489,7 @@ def m09(spark, sf):
     ),
 )
 def a13(spark, sf):
-    return au.confusion_matrix(full_run(spark, sf, LESION, labels=True))
+    return au.confusion_matrix(checkpointed(full_run(spark, sf, LESION, labels=True)))
 
 
 @register(
@@ -514,7 +506,7 @@ def a12(spark, sf):
     query(DECIDED + GOLD, "SELECT case_id, want AS expected_action, final_decision, want = final_decision AS agrees FROM gl WHERE want IS NOT NULL"),
 )
 def j07(spark, sf):
-    rows = full_run(spark, sf, LESION, labels=True).filter(au.ELIGIBLE)
+    rows = checkpointed(full_run(spark, sf, LESION, labels=True)).filter(au.ELIGIBLE)
     return rows.selectExpr(
         "case_id",
         "labels.expected_action",
@@ -541,7 +533,7 @@ POOL = od.base(ORGAN) + od.policy_ctes() + [
     query(POOL, "SELECT case_id, action, array_to_string(tokens, '|') AS tokens, edge, key FROM pool"),
 )
 def h01(spark, sf):
-    pool = rv.candidates(full_run(spark, sf, ORGAN)).filter("exists(tokens, t -> startswith(t, 'policy:'))")
+    pool = rv.candidates(checkpointed(full_run(spark, sf, ORGAN))).filter("exists(tokens, t -> startswith(t, 'policy:'))")
     return pool.selectExpr("case_id", "action", f"{joined('tokens')} AS tokens", "edge", "key")
 
 
@@ -553,7 +545,7 @@ def j06(spark, sf):
 def package(spark, sf):
     hashes = {"final": "f", "validation": "v", "deterministic": "d"}
     identity = {"run_id": "run_1", "dataset_name": "orders", "task_mode": ORGAN}
-    run = full_run(spark, sf, ORGAN).filter("final.matched_rule IS NOT NULL")
+    run = checkpointed(full_run(spark, sf, ORGAN)).filter("final.matched_rule IS NOT NULL")
     return rv.build_package(run, TASK_PROFILES[ORGAN]["required_masks"], identity, hashes)
 
 
@@ -579,8 +571,8 @@ def s13(spark, sf):
 )
 def w01(spark, sf):
     """The candidates a greedy selection can pick: best per token set and top 120 per action."""
-    pool = rv.candidates(full_run(spark, sf, ORGAN)).filter("exists(tokens, t -> startswith(t, 'policy:'))")
-    return rv.contenders(pool).select("case_id", "action", "edge")
+    pool = rv.candidates(checkpointed(full_run(spark, sf, ORGAN))).filter("exists(tokens, t -> startswith(t, 'policy:'))")
+    return rv.contenders(checkpointed(pool)).select("case_id", "action", "edge")
 
 
 @register(
@@ -659,7 +651,7 @@ def h05(spark, sf):
     ),
 )
 def w07(spark, sf):
-    decided = dc.decide(rt.with_routing(aligned(spark, sf), LESION), LESION)
+    decided = checkpointed(dc.decide(rt.with_routing(aligned(spark, sf), LESION), LESION))
     return lk.listing(decided, "final_decision = 'review'")
 
 
@@ -690,29 +682,33 @@ def h09(spark, sf):
 
 # -- cross-task analysis -------------------------------------------------------------------------
 def runs(spark, sf):
-    """Decisions of all three task profiles, long."""
+    """Decisions of all three task profiles, long; every profile reads the same aligned rows."""
     rows = aligned(spark, sf)
     out = None
     for mode in TASK_MODES:
-        routed = rt.with_routing(rows, mode)
         hidden = [d for d in DOMAINS if d not in TASK_PROFILES[mode]["active_domains"]]
         severities = ", ".join(
             f"'{d}', " + ("'not_applicable'" if d in hidden else f"coalesce(deterministic.qc_domains.{d}.severity, 'normal')")
             for d in DOMAINS
         )
-        extra = routed.selectExpr(
-            "case_id", "routing.route_to_review AS routed", f"named_struct({severities}) AS severities"
-        )
-        decided = dc.decide(routed, mode).selectExpr(
-            "case_id", "final_decision AS action", "decision_basis AS basis", "hard_failure", "primary_domain"
+        decided = dc.decide(rt.with_routing(rows, mode), mode, ["routing", "deterministic"])
+        part = decided.selectExpr(
+            "case_id",
+            f"'{TASK_NOTATION[mode]}' AS profile",
+            "final_decision AS action",
+            "decision_basis AS basis",
+            "hard_failure",
+            "primary_domain",
+            "routing.route_to_review AS routed",
+            f"named_struct({severities}) AS severities",
         )
-        part = decided.join(extra, "case_id").withColumn("profile", F.lit(TASK_NOTATION[mode]))
         out = part if out is None else out.unionByName(part)
     return out
 
 
 def wide(spark, sf):
-    return an.side_by_side(runs(spark, sf))
+    """Profiles side by side, read back as the stored artifact the analysis starts from."""
+    return checkpointed(an.side_by_side(runs(spark, sf)))
 
 
 def _suffix(ctes: list[str], tag: str, known: set[str]) -> list[str]:
