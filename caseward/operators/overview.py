@@ -38,13 +38,18 @@ def tag_order(flagged: DataFrame) -> DataFrame:
 
 
 def score_distribution(scored: DataFrame) -> DataFrame:
-    """Count, range, mean and median of the positive scores."""
-    return scored.filter("score > 0").agg(
-        F.count("*").alias("n"),
-        F.min("score").alias("min_score"),
-        F.max("score").alias("max_score"),
-        F.avg("score").alias("mean_score"),
-        F.median("score").alias("median_score"),
+    """Count, range, mean and median of the positive scores.
+
+    Zeros are masked instead of filtered: a filter on a derived column would be
+    pushed through the whole rule chain.  Scores are whole numbers up to 100.
+    """
+    positive = F.when(F.col("score") > 0, F.col("score"))
+    return scored.agg(
+        F.count(positive).alias("n"),
+        F.min(positive).alias("min_score"),
+        F.max(positive).alias("max_score"),
+        F.avg(positive).alias("mean_score"),
+        F.median(positive).alias("median_score"),
     )
 
 
@@ -125,7 +130,7 @@ _LISTED = ("case_id", "score", "first_risk AS risk_level", "decision_hint")
 
 
 def case_filter(passed: DataFrame, name: str) -> DataFrame:
-    """Cases of one named filter (H8)."""
+    """Cases of one named filter (H8); meant for a stored first-pass table."""
     if name not in FILTERS:
         raise ValueError(f"unknown filter: {name}")
     return passed.filter(FILTERS[name]).selectExpr(*_LISTED)
