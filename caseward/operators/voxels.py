@@ -319,7 +319,8 @@ def _described(prefix: str, name: str) -> dict[str, str]:
     return {
         f"{name}_voxel_count": f"nullif({n}, 0)",
         f"{name}_mean_hu": f"bround({s1} / {n}, 2)",
-        f"{name}_std_hu": f"bround(sqrt(greatest(0D, {s2} / {n} - ({s1} / {n}) * ({s1} / {n}))), 2)",
+        f"{name}_std_hu": f"CASE WHEN {n} > 0 THEN"
+        f" bround(sqrt(greatest(0D, {s2} / {n} - ({s1} / {n}) * ({s1} / {n}))), 2) END",
         **{f"{name}_{label}_hu": f"bround({prefix}_q[{i}], 2)" for i, (_, label) in enumerate(QUANTILES)},
     }
 

@@ -42,7 +42,7 @@ GEOMETRY = {
     "exists": "s_suppkey % 31 <> 7",
     "readable": "s_suppkey % 31 <> 7 AND s_suppkey % 37 <> 11",
     "nz": "CASE WHEN s_suppkey % 41 = 12 THEN 8 ELSE 7 END",
-    "sp": "2.5e0 + CASE s_suppkey % 17 WHEN 3 THEN 0.001e0 WHEN 6 THEN 0.00008e0 ELSE 0e0 END",
+    "sp": "2e0 + CASE s_suppkey % 17 WHEN 3 THEN 0.001e0 WHEN 6 THEN 0.00008e0 ELSE 0e0 END",
     "ox": "-100e0 + CASE s_suppkey % 13 WHEN 2 THEN 0.05e0 WHEN 7 THEN 0.011e0 WHEN 8 THEN 0.009e0 ELSE 0e0 END",
     "skew": "CASE s_suppkey % 19 WHEN 1 THEN 0.01e0 WHEN 4 THEN 0.0004e0 ELSE 0e0 END",
 }

@@ -205,7 +205,7 @@ FINGERPRINT = (
 def s08(spark, sf):
     """Order-free content hash of the line items."""
     text = F.concat_ws("|", "l_orderkey", "l_linenumber", "l_returnflag", "l_partkey")
-    return cal.fingerprint_of(read_table(spark, sf, "lineitem").select(text.alias("text")))
+    return cal.fingerprint_of(spread(read_table(spark, sf, "lineitem")).select(text.alias("text")))
 
 
 @register(
