@@ -534,7 +534,17 @@ def c29(spark, sf):
     )
 
 
-@register("v05_case_invariants")
+@register(
+    "v05_case_invariants",
+    _sql(
+        FULL,
+        "f3",
+        """SELECT case_id, unnest(list_filter([CASE WHEN k % 61 = 5 THEN 'score_mismatch' END,
+           CASE WHEN k % 67 = 6 AND dominant <> 'none' THEN 'failure_mode_mismatch' END, CASE WHEN k % 71 = 7 THEN 'hint_prefix' END,
+           CASE WHEN k % 73 = 8 AND worst1 <= 2 THEN 'metadata_only_high_risk' END,
+           CASE WHEN k % 79 = 9 THEN 'unknown_component_key' END], lambda x: x IS NOT NULL)) AS violation FROM f3""",
+    ),
+)
 def v05(spark, sf):
     """Violations of stored QC cases; some rows are broken on purpose from their key."""
     rows = first(spark, sf).selectExpr(

@@ -823,3 +823,49 @@ def a16(spark, sf):
 def m10(spark, sf):
     """Stable and changed cases add up to the aligned ones."""
     return a15(spark, sf).selectExpr("stable + changed = aligned AS split_ok", "aligned")
+
+
+# -- joins and the whole run ---------------------------------------------------------------------
+@register(
+    "j01_metadata_lookup",
+    f"SELECT {CASE} AS case_id, c_mktsegment AS manufacturer FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 4 <> 1)"
+    " ON o_custkey = c_custkey",
+)
+def j01(spark, sf):
+    """Metadata of each case by key; Spark broadcasts the metadata only while it is small."""
+    from caseward.sources.derived import read_table, spread
+
+    cases = spread(read_table(spark, sf, "orders")).selectExpr(
+        "concat('C', lpad(CAST(o_orderkey AS STRING), 8, '0')) AS case_id", "o_custkey AS key"
+    )
+    meta = read_table(spark, sf, "customer").filter("c_custkey % 4 <> 1")
+    meta = meta.selectExpr("c_custkey AS key", "c_mktsegment AS manufacturer")
+    return cases.join(meta, "key", "left").select("case_id", "manufacturer")
+
+
+@register(
+    "j04_decision_alignment",
+    query(
+        DECIDED,
+        "SELECT case_id, has_det AS has_deterministic, has_cal AS has_calibrated, has_val AS has_validation, final_decision FROM dd",
+    ),
+)
+def j04(spark, sf):
+    return full_run(spark, sf, LESION).selectExpr(
+        "case_id",
+        "deterministic IS NOT NULL AS has_deterministic",
+        "calibrated IS NOT NULL AS has_calibrated",
+        "validation IS NOT NULL AS has_validation",
+        "final.final_decision",
+    )
+
+
+@register("c25_run_decisions")
+def whole_run(spark, sf):
+    """Final actions of a whole run over the derived cases: calibrate, judge twice, route, decide."""
+    from caseward.config import Settings
+    from caseward.plans.run import run
+    from caseward.sources.derived import case_summary
+
+    table = run(case_summary(spark, sf), dr.validation_rows(spark, sf), Settings(LESION))
+    return table.groupBy("final.final_decision", "final.decision_basis").agg(F.count("*").alias("n"))
