@@ -57,13 +57,13 @@ def resolve(queries: DataFrame, cases: DataFrame, prefix: str) -> DataFrame:
 def listing(decisions: DataFrame, condition: str, shown: int = 50) -> DataFrame:
     """First cases by id with the full count and a truncation mark.
 
-    Count and top-k are two aggregates over the same filter; no global sort.
+    The list is a distributed top-k; the count of the stored table is a plan-time literal.
     """
     hits = decisions.filter(condition).select("case_id")
-    count = hits.agg(F.count("*").alias("count"))
-    first = hits.orderBy("case_id").limit(shown)
-    # One count row joins a list of at most ``shown`` rows.
-    return first.crossJoin(F.broadcast(count)).selectExpr("case_id", "count", f"count > {shown} AS truncated")
+    count = hits.count()
+    return hits.orderBy("case_id").limit(shown).select(
+        "case_id", F.lit(count).alias("count"), F.lit(count > shown).alias("truncated")
+    )
 
 
 def case_detail(aligned: DataFrame) -> DataFrame:
