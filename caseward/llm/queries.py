@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caseward.llm import quality
+from caseward.llm import language, quality, substrings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -27,7 +27,22 @@ def register(name: str, sql: str | None = None):
     return add
 
 
+@register("op1_language_id")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
+    model = language.learn(documents.filter(~held_out))
+    found = language.predict(documents, model)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 @register("op8_quality_rules")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     return quality.judge(documents, quality.train(documents, table(spark, sf_dir, "labels")))
+
+
+@register("op10_substring_dedup")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substrings.dedupe(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))

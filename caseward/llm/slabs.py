@@ -76,7 +76,7 @@ def mixed(a: np.ndarray, b: np.ndarray, salt: int = 0) -> np.ndarray:
     """A 64-bit hash of each ordered pair of 64-bit values."""
     x = a * _MIX_1 + np.uint64((salt * 2 + 1) * 0x27D4EB2F165667C5 & (1 << 64) - 1)
     x ^= x >> np.uint64(29)
-    x += b * _MIX_2
+    x = x + b * _MIX_2
     x ^= x >> np.uint64(32)
     x *= _MIX_3
     x ^= x >> np.uint64(30)
