@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caseward.llm import bpe, language, quality, simhash, substrings
+from caseward.llm import bpe, language, quality, simhash, substrings, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -36,17 +36,25 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
-@register("op5_simhash_near_dedup")
-def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.components(table(spark, sf_dir, "documents"))
-
-
 def vocabulary(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
 
 
+@register("op2_token_files")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with open(vocabulary("byte_bpe_50k.json"), encoding="utf-8") as file:
+        definition = file.read()
+    files = token_files.write_files(table(spark, sf_dir, "documents"), definition, token_files.new_folder(spark))
+    return token_files.read_files(files).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@register("op5_simhash_near_dedup")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.components(table(spark, sf_dir, "documents"))
+
+
 @register("op7_bpe_encode_decode")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = vocabulary("word_bpe_49k.json")
