@@ -24,6 +24,6 @@ def written(uri: str, attempt: str) -> Iterator:
     folder, _, name = path.rpartition("/")
     system.create_dir(folder, recursive=True)
     part = f"{folder}/_{attempt}-{name}"
-    with system.open_output_stream(part) as stream:
+    with system.open_output_stream(part, compression=None) as stream:
         yield stream
     system.move(part, path)

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caseward.llm import bpe, language, quality, simhash, substrings, token_files
+from caseward.llm import bpe, language, mixing, quality, simhash, substrings, token_files, warc
+from caseward.sources.shared import new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -36,6 +37,11 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+@register("op6_mixing")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def vocabulary(name: str) -> str:
     import public_tokenizers
 
@@ -46,7 +52,7 @@ def vocabulary(name: str) -> str:
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     with open(vocabulary("byte_bpe_50k.json"), encoding="utf-8") as file:
         definition = file.read()
-    files = token_files.write_files(table(spark, sf_dir, "documents"), definition, token_files.new_folder(spark))
+    files = token_files.write_files(table(spark, sf_dir, "documents"), definition, new_path(spark, "token-ids"))
     return token_files.read_files(files).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
@@ -68,6 +74,11 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(documents, quality.train(documents, table(spark, sf_dir, "labels")))
 
 
+@register("op9_warc")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.read_archives(warc.write_archives(table(spark, sf_dir, "pages"), new_path(spark, "warc")))
+
+
 @register("op10_substring_dedup")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substrings.dedupe(table(spark, sf_dir, "documents"))
