@@ -32,7 +32,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST = 2
-BLOCK = 128
+BLOCK = 32
 SHARD_WORDS = 1 << 24
 SEED = 7
 #: Sources are weighed on the driver; more than this are refused.
@@ -79,7 +79,7 @@ def apportion(votes: np.ndarray, seats: int, limits: np.ndarray) -> np.ndarray:
 
 
 def _sized(documents: DataFrame, seed: int) -> DataFrame:
-    size = F.coalesce(F.expr(f"regexp_count(text, '{WORD}')"), F.lit(0)).cast("long")
+    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     # Two lanes: equal order keys of different documents are out of reach.
     return documents.select("*", size.alias("_size"), F.xxhash64(F.lit(seed), "doc_id", "text").alias("_h"), F.xxhash64(F.lit(~seed), "text", "doc_id").alias("_g"))
 
@@ -149,7 +149,7 @@ def mixed(documents: DataFrame) -> DataFrame:
     """
     columns = documents.columns
     rows = mix(documents, keep=tuple(columns))
-    words = F.expr(f"regexp_extract_all(_text, '{WORD}', 0)")
+    words = F.regexp_extract_all("_text", F.lit(WORD), 0)
     some = "concat(slice(w, CAST(ranges[0].from AS INT) + 1, CAST(ranges[0].to - ranges[0].from AS INT)), slice(w, 1, CAST(ranges[1].to AS INT)))"
     extra = F.expr("taken - passes * size")
     part = F.when(extra == F.col("size"), F.col("_text")).when(extra > 0, F.concat_ws(" ", F.expr(some)))

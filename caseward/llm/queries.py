@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caseward.llm import bpe, language, mixing, quality, simhash, substrings, token_files, warc
+from caseward.llm import bpe, language, lines, mixing, neighbours, quality, simhash, substrings, token_files, warc
 from caseward.sources.shared import new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -56,6 +56,17 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_files(files).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+@register("op3_line_dedup", lines.SQL)
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lines.dedupe(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_deleted", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+@register("op4_nearest_neighbours")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(table(spark, sf_dir, "embeddings"), "vec_id % 50 = 0", k=5)
+
+
 @register("op5_simhash_near_dedup")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.components(table(spark, sf_dir, "documents"))
@@ -74,12 +85,12 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(documents, quality.train(documents, table(spark, sf_dir, "labels")))
 
 
-@register("op9_warc")
+@register("op9_warc", warc.SQL)
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(warc.write_archives(table(spark, sf_dir, "pages"), new_path(spark, "warc")))
 
 
-@register("op10_substring_dedup")
+@register("op10_substring_dedup", substrings.SQL)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substrings.dedupe(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))

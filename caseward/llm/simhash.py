@@ -72,15 +72,16 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(documents: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp) of each row; fp is the fingerprint's bits as a signed long."""
+    """(doc_id, t, fp) of each row: a hash of the text, and the fingerprint's bits as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for slab in slabs(batches, "text", _SLAB):
             texts = slab.column("text").cast(pa.binary()).to_pylist()
             fp = np.array([fingerprint(t, shingle) for t in texts], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_pydict({"doc_id": slab.column("doc_id"), "fp": pa.array(fp)})
+            yield pa.RecordBatch.from_pydict({"doc_id": slab.column("doc_id"), "t": slab.column("t"), "fp": pa.array(fp)})
 
-    return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(documents.dtypes)['doc_id']}, fp long")
+    given = documents.select("doc_id", F.xxhash64("text").alias("t"), "text")
+    return given.mapInArrow(run, f"doc_id {dict(documents.dtypes)['doc_id']}, t long, fp long")
 
 
 class Forest:
@@ -217,12 +218,17 @@ def links(nodes: DataFrame, radius: int = RADIUS, piece: int = PIECE) -> DataFra
     return cells.mapInArrow(lambda b: _search(b, radius), "a long, b long")
 
 
-def components(documents: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """doc_id, fingerprint (16 hexadecimal digits), component_id of each row."""
+def grouped(documents: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, t, fp) of each row, and (fp, root, least) of each fingerprint: its component and its smallest doc_id."""
     marked = stored(fingerprints(documents, shingle), "fingerprints")
     nodes = marked.groupBy("fp").agg(F.min("doc_id").alias("least"))
     roots = connected_components(links(nodes, radius)).withColumnRenamed("node", "fp")
-    placed = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    return marked, nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
+def components(documents: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+    """doc_id, fingerprint (16 hexadecimal digits), component_id of each row."""
+    marked, placed = grouped(documents, shingle, radius)
     ids = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     named = placed.join(ids, "root").select("fp", "component_id")
     digits = F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint")
@@ -230,10 +236,11 @@ def components(documents: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
 
 
 def deduplicated(documents: DataFrame) -> DataFrame:
-    """One row of each component stays: that of its smallest doc_id, with all columns."""
-    found = components(documents.select("doc_id", "text"))
-    stays = found.filter("doc_id = component_id").select("doc_id").distinct()
-    none = found.filter("component_id IS NULL").select(F.lit(None).cast(dict(documents.dtypes)["doc_id"]).alias("doc_id")).limit(1)
-    stays = stays.unionByName(none).select(F.col("doc_id").alias("_stays"))
-    kept = documents.join(stays, F.col("doc_id").eqNullSafe(F.col("_stays"))).drop("_stays")
-    return kept.dropDuplicates(["doc_id"])
+    """One row of each component stays, with all columns: the smallest doc_id, null last, then the smallest text hash."""
+    marked, placed = grouped(documents.select("doc_id", "text"))
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))
+    best = marked.groupBy("fp").agg(F.min(F.struct(key.alias("_near_k"), F.col("t").alias("_near_t"))).alias("row"))
+    best = best.join(placed, "fp").groupBy("root").agg(F.min("row").alias("row")).select("row.*").distinct()
+    rows = documents.withColumns({"_near_k": key, "_near_t": F.xxhash64("text")})
+    kept = rows.join(best, ["_near_k", "_near_t"]).dropDuplicates(["_near_k", "_near_t"])
+    return kept.select(*documents.columns)
