@@ -219,3 +219,18 @@ def read_archives(archives: DataFrame, payload: bool = False) -> DataFrame:
     schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
     n = max(1, archives.count())
     return archives.select("path").repartition(n).mapInArrow(run, schema + ", payload binary" * payload)
+
+
+#: Base32 of the digest: every five hexadecimal digits are four letters.
+SQL = """
+WITH page AS (
+    SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS h, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS newest FROM pages
+), letters AS (
+    SELECT page_id, n, newest, list_transform(range(8), lambda i : CAST('0x' || substr(h, 5 * i + 1, 5) AS BIGINT)) AS v FROM page
+)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
+    array_to_string(list_transform(v, lambda x : array_to_string(list_transform([15, 10, 5, 0], lambda s : substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 + ((x >> s) & 31) AS INT), 1)), '')), '') AS payload_digest,
+    CASE WHEN page_id = newest THEN 'response' ELSE 'revisit' END AS record_type,
+    CASE WHEN page_id <> newest THEN newest END AS refers_to
+FROM letters
+"""
