@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from caseward.llm.slabs import Words, slabs, term_hashes, window_hashes
+from caseward.llm.slabs import Words, mixed, slabs, term_hashes, window_hashes
 
 WINDOW = 50
 PERIOD = 31
@@ -39,45 +39,64 @@ PERIOD = 31
 COVER = (1, 5, 11, 24, 25, 27)
 #: Bytes of text for each hash bucket.
 BUCKET_BYTES = 8 << 20
-_SLAB = 8 << 20
+_SLAB = 3 << 20
 _NULL_ID = -(1 << 63)
-_ENTRY = "bucket int, doc long, pos binary, h1 binary, h2 binary, docs binary"
+_ENTRY = "bucket int, settled boolean, docs binary, pos binary, h1 binary, h2 binary"
+_TYPES = (np.int64, np.int32, np.uint64, np.uint64)
 
 
 def is_cover(cover: tuple[int, ...], period: int) -> bool:
     return {(a - b) % period for a in cover for b in cover} == set(range(period))
 
 
-def _packed(bucket: int, doc: int | None, pos: np.ndarray, h1=None, h2=None, docs=None) -> tuple:
-    data = [pos.astype(np.int32), h1, h2, docs if docs is None else docs.astype(np.int64)]
-    return (bucket, doc, *(None if x is None else np.ascontiguousarray(x).tobytes() for x in data))
+def _packed(bucket: np.ndarray, settled: bool, *columns: np.ndarray | None) -> list[tuple]:
+    """One row for each bucket: the columns docs, pos, h1, h2 of its entries as bytes."""
+    order = np.argsort(bucket, kind="stable")
+    cuts = np.flatnonzero(np.diff(bucket[order])) + 1
+    typed = [None if c is None else c.astype(t)[order] for c, t in zip(columns, _TYPES, strict=False)]
+    typed += [None] * (len(_TYPES) - len(typed))
+    out = []
+    for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(order)], strict=True):
+        if b > a:
+            out.append((int(bucket[order[a]]), settled, *(None if c is None else c[a:b].tobytes() for c in typed)))
+    return out
+
+
+def _answers(docs: np.ndarray, pos: np.ndarray, buckets: int) -> list[tuple]:
+    """Positions of documents, packed by a bucket of the document."""
+    place = mixed(docs.astype(np.int64).view(np.uint64), np.zeros(1, np.uint64)) >> np.uint64(33)
+    return _packed(place.astype(np.int64) % buckets, True, docs, pos)
+
+
+def _entries(h1: np.ndarray, h2: np.ndarray | None, docs: np.ndarray, pos: np.ndarray, buckets: int) -> list[tuple]:
+    """Unsettled entries, packed by a bucket of the hash."""
+    return _packed((h1 >> np.uint64(33)).astype(np.int64) % buckets, False, docs, pos, h1, h2)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 4]
-    names = ["bucket", "doc", "pos", "h1", "h2", "docs"]
+    kinds = [pa.int32(), pa.bool_(), *[pa.binary()] * 4]
     columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
+    names = ["bucket", "settled", "docs", "pos", "h1", "h2"]
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
 
-def _answers(docs: np.ndarray, pos: np.ndarray, buckets: int) -> list[tuple]:
-    """One row for each document with its positions."""
-    order = np.lexsort((pos, docs))
-    docs, pos = docs[order], pos[order]
-    cuts = np.flatnonzero(np.diff(docs)) + 1
-    return [_packed(int(d[0]) % buckets, int(d[0]), p) for d, p in zip(np.split(docs, cuts), np.split(pos, cuts), strict=True) if len(d)]
+def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bool, list]]:
+    """(settled, [docs, pos, h1, h2]) of each bucket; rows come ordered by bucket and settled."""
+    held: list[tuple] = []
+    now = None
+    for batch in batches:
+        for bucket, settled, *blobs in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if (bucket, settled) != now:
+                if held:
+                    yield now[1], _whole(held)
+                held, now = [], (bucket, settled)
+            held.append(blobs)
+    if held:
+        yield now[1], _whole(held)
 
 
-def _entries(h1: np.ndarray, h2: np.ndarray | None, docs: np.ndarray, pos: np.ndarray, buckets: int) -> list[tuple]:
-    """Unsettled entries, packed by bucket."""
-    bucket = (h1 >> np.uint64(33)).astype(np.int64) % buckets
-    order = np.argsort(bucket, kind="stable")
-    cuts = np.flatnonzero(np.diff(bucket[order])) + 1
-    return [
-        _packed(int(bucket[at[0]]), None, pos[at], h1[at], None if h2 is None else h2[at], docs[at])
-        for at in np.split(order, cuts)
-        if len(at)
-    ]
+def _whole(parts: list) -> list:
+    return [None if parts[0][i] is None else np.frombuffer(b"".join(p[i] for p in parts), t) for i, t in enumerate(_TYPES)]
 
 
 def _groups(h1: np.ndarray, h2: np.ndarray | None, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -134,10 +153,10 @@ def _windows(batches: Iterator[pa.RecordBatch], window: int, period: int, bucket
         ids = slab.column("k").to_numpy()
         ends = words.counts - window + 1  # windows of each row
         delta = np.zeros(len(words.codes) + 1, np.int64)
-        for row, blobs in enumerate(slab.column("found").to_pylist()):
+        for row, blob in enumerate(slab.column("found").to_pylist()):
             if ends[row] <= 0:
                 continue
-            p = np.concatenate([np.frombuffer(b, np.int32) for b in blobs]).astype(np.int64)
+            p = np.frombuffer(blob, np.int32).astype(np.int64)
             np.add.at(delta, words.starts[row] + np.maximum(p - period + 1, 0), 1)
             np.add.at(delta, words.starts[row] + np.minimum(p + 1, ends[row]), -1)
         at = np.flatnonzero(np.cumsum(delta[:-1]) > 0)
@@ -153,49 +172,40 @@ def _windows(batches: Iterator[pa.RecordBatch], window: int, period: int, bucket
 
 
 def _settle(batches: Iterator[pa.RecordBatch], windows: bool, buckets: int) -> Iterator[pa.RecordBatch]:
-    """Answer the entries of each bucket; rows come ordered by bucket, answers pass through."""
-
-    def answer(parts: list[tuple]) -> list[tuple]:
-        pos, h1, h2, docs = (np.concatenate([np.frombuffer(p[i], t) for p in parts]) if parts[0][i] is not None else None for i, t in enumerate((np.int32, np.uint64, np.uint64, np.int64)))
-        order, group, first = _groups(h1, h2, docs)
-        if windows:
-            hit = docs[order] != docs[order[first]][group]
-        else:
-            last = np.append(first[1:], len(order)) - 1
-            common = (docs[order[first]] != docs[order[last]]) | (np.minimum.reduceat(pos[order], first) < 0)
-            hit = common[group] & (pos[order] >= 0)
-        return _answers(docs[order][hit], pos[order][hit], buckets)
+    """Answer the entries of each hash bucket; what is settled passes through."""
+    for settled, (docs, pos, h1, h2) in _by_bucket(batches):
+        if not settled:
+            order, group, first = _groups(h1, h2, docs)
+            docs, pos = docs[order], pos[order]
+            if windows:
+                hit = docs != docs[first][group]
+            else:
+                last = np.append(first[1:], len(order)) - 1
+                common = (docs[first] != docs[last]) | (np.minimum.reduceat(pos, first) < 0)
+                hit = common[group] & (pos >= 0)
+            docs, pos = docs[hit], pos[hit]
+        yield _batch(_answers(docs, pos, buckets))
 
-    def ready(out: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_pydict({"k": pa.array([r[1] for r in out], pa.int64()), "pos": pa.array([r[2] for r in out], pa.binary())})
 
-    held: list[tuple] = []
-    now = None
-    for batch in batches:
-        out: list[tuple] = []
-        for bucket, doc, *blobs in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if bucket != now:
-                out += answer(held) if held else []
-                held, now = [], bucket
-            if doc is not None:
-                out.append((bucket, doc, blobs[0]))
-            else:
-                held.append(tuple(blobs))
-        if out:
-            yield ready(out)
-    if held:
-        yield ready(answer(held))
+def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each document with its positions in ascending order."""
+    for _, (docs, pos, *_) in _by_bucket(batches):
+        order = np.lexsort((pos, docs))
+        docs, pos = docs[order], pos[order]
+        cuts = np.append(np.flatnonzero(np.diff(docs)) + 1, len(docs)).tolist()
+        found = [pos[a:b].tobytes() for a, b in zip([0, *cuts[:-1]], cuts, strict=True)]
+        yield pa.RecordBatch.from_pydict({"k": pa.array(docs[[c - 1 for c in cuts]]), "found": pa.array(found, pa.binary())})
 
 
 def _cut(batches: Iterator[pa.RecordBatch], window: int, columns: list[str]) -> Iterator[pa.RecordBatch]:
     for slab in slabs(batches, "text", _SLAB):
         n_words, removed, kept = [], [], []
-        for text, blobs in zip(slab.column("text").cast(pa.binary()).to_pylist(), slab.column("found").to_pylist(), strict=True):
+        for text, blob in zip(slab.column("text").cast(pa.binary()).to_pylist(), slab.column("found").to_pylist(), strict=True):
             words = (text or b"").split()
             gone = 0
-            if blobs:
+            if blob:
                 delta = np.zeros(len(words) + 1, np.int64)
-                p = np.unique(np.concatenate([np.frombuffer(b, np.int32) for b in blobs]))
+                p = np.unique(np.frombuffer(blob, np.int32))
                 delta[p] += 1
                 delta[p + window] -= 1
                 stay = np.cumsum(delta[:-1]) == 0
@@ -230,12 +240,35 @@ def dedupe(
     base = documents.select(key, "doc_id", "text", *[F.col(c).alias(f"_in_{c}") for c in keep])
 
     def settled(rows: DataFrame, windows: bool) -> DataFrame:
-        sorted_rows = rows.repartition(buckets, "bucket").sortWithinPartitions("bucket")
-        found = sorted_rows.mapInArrow(lambda b: _settle(b, windows, buckets), "k long, pos binary")
-        return found.groupBy("k").agg(F.collect_list("pos").alias("found"))
+        def dealt(x: DataFrame) -> DataFrame:
+            return x.repartition(buckets, "bucket").sortWithinPartitions("bucket", "settled")
+
+        answers = dealt(rows).mapInArrow(lambda b: _settle(b, windows, buckets), _ENTRY)
+        return dealt(answers).mapInArrow(_gather, "k long, found binary")
 
     anchors = documents.select(key, "text").mapInArrow(lambda b: _anchors(b, window, period, cover, buckets), _ENTRY)
-    near = base.join(settled(anchors, False), "k").select("k", "text", "found")
+    near = base.join(settled(anchors, False), "k")
     cuts = settled(near.mapInArrow(lambda b: _windows(b, window, period, buckets), _ENTRY), True)
     schema = f"doc_id {kinds['doc_id']}, n_words long, n_removed long, kept_text string" + "".join(f", `_{c}` {kinds[c]}" for c in keep)
     return base.join(cuts, "k", "left").drop("k").mapInArrow(lambda b: _cut(b, window, list(keep)), schema)
+
+
+SQL = rf"""
+WITH doc AS (
+    SELECT doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM documents
+), win AS (
+    SELECT doc_id, s, array_to_string(w[s : s + {WINDOW - 1}], ' ') AS run
+    FROM (SELECT doc_id, w, unnest(range(1, len(w) - {WINDOW - 2})) AS s FROM doc WHERE len(w) >= {WINDOW})
+), later AS (
+    SELECT doc_id, s FROM win WHERE true QUALIFY min(doc_id) OVER (PARTITION BY run) < doc_id
+), gone AS (
+    SELECT DISTINCT doc_id, s + o AS i FROM later, (SELECT unnest(range({WINDOW})) AS o)
+), cut AS (
+    SELECT doc_id, list(i) AS g FROM gone GROUP BY doc_id
+), kept AS (
+    SELECT doc_id, len(w) AS n, coalesce(len(g), 0) AS r,
+        array_to_string(list_filter(w, lambda x, i : NOT coalesce(list_contains(g, i), false)), ' ') AS t
+    FROM doc LEFT JOIN cut USING (doc_id)
+)
+SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(r AS BIGINT) AS n_removed, sha256(t) AS kept_sha256 FROM kept
+"""
