@@ -36,7 +36,7 @@ CHAR_NGRAMS, WORD_NGRAMS = (1, 3), (1, 2)
 #: Labelled rows that training may use.
 MAX_LABELLED = 3000
 #: Documents with a lower calibrated probability of good quality go.
-THRESHOLD = 0.5
+THRESHOLD = 0.8
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 SYMBOLS = b"#*$%&|<>"
 #: Bytes of text scored at once.
@@ -202,7 +202,7 @@ def _product(weights: np.ndarray, slots: list, vals: list) -> np.ndarray:
     return np.array([float(weights[s] @ v) for s, v in zip(slots, vals, strict=True)])
 
 
-def fit(y: np.ndarray, slots: list, vals: list, log_odds: float, rounds: int = 100, decay: float = 1e-6) -> Model:
+def fit(y: np.ndarray, slots: list, vals: list, log_odds: float, rounds: int = 200, decay: float = 1e-6) -> Model:
     """Class-balanced logistic regression by accelerated gradient steps, then Platt's calibration.
 
     ``log_odds`` are those of good quality among all labelled rows; the calibrated
@@ -218,6 +218,9 @@ def fit(y: np.ndarray, slots: list, vals: list, log_odds: float, rounds: int = 1
     t = y[use]
     share = np.where(t == 1, 0.5 / max(t.sum(), 1), 0.5 / max((1 - t).sum(), 1))
     size = 2 << BITS
+    # Slots that most documents fill tell little: they are scaled down by their document frequency.
+    scale = np.log((1 + len(use)) / (1 + np.bincount(slot, minlength=size)))
+    val *= scale[slot]
     w, b, wv, bv = np.zeros(size), 0.0, np.zeros(size), 0.0
     norm = np.bincount(row, val * val, len(use)).max() + 1
     step = 4 / norm
@@ -228,22 +231,23 @@ def fit(y: np.ndarray, slots: list, vals: list, log_odds: float, rounds: int = 1
         b2 = bv - step * g.sum()
         speed = k / (k + 3)
         wv, bv, w, b = w2 + speed * (w2 - w), b2 + speed * (b2 - b), w2, b2
+    w *= scale
     test = np.flatnonzero(held) if held.any() else use
     margin = _product(w, [slots[i] for i in test], [vals[i] for i in test]) + b
-    scale = margin.std() or 1.0
+    spread = margin.std() or 1.0
     # Platt: targets are drawn in by one count for each class; classes weigh alike.
     up, down = max(y[test].sum(), 1), max((1 - y[test]).sum(), 1)
     goal = np.where(y[test] == 1, (up + 1) / (up + 2), 1 / (down + 2))
     share = np.where(y[test] == 1, 0.5 / up, 0.5 / down)
     a, c = 1.0, 0.0
-    x = margin / scale
+    x = margin / spread
     for _ in range(50):  # Newton steps
-        p = 1 / (1 + np.exp(-(a * x + c)))
+        p = 1 / (1 + np.exp(-np.clip(a * x + c, -500, 500)))
         r, h = (p - goal) * share, p * (1 - p) * share + 1e-9
         grad = np.array([(r * x).sum() + 1e-4 * a, r.sum()])
         hess = np.array([[(h * x * x).sum() + 1e-4, (h * x).sum()], [(h * x).sum(), h.sum()]])
         a, c = np.array([a, c]) - np.linalg.solve(hess, grad)
-    return Model(w.astype(np.float32), float(b), float(a / scale), float(c + log_odds))
+    return Model(w.astype(np.float32), float(b), float(a / spread), float(c + log_odds))
 
 
 def judge(documents: DataFrame, model: Model | None, threshold: float = THRESHOLD, keep: tuple[str, ...] = ()) -> DataFrame:
