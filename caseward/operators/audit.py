@@ -295,7 +295,7 @@ def confusion_matrix(aligned: DataFrame) -> DataFrame:
         *[F.count_if(F.col("final.final_decision") == a).alias(a) for a in ACTIONS]
     )
     frame = rows.sparkSession.createDataFrame([(a,) for a in ACTIONS], "expected string")
-    return frame.join(F.broadcast(counts), "expected", "left").na.fill(0, list(ACTIONS))
+    return frame.join(counts, "expected", "left").na.fill(0, list(ACTIONS))
 
 
 def label_counts(labels: DataFrame) -> DataFrame:

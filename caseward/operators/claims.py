@@ -183,8 +183,15 @@ def claim_audit(reasoning: DataFrame, evidence: DataFrame, identity: tuple[str,
 
 
 def forbidden_keys(text: str, tokens: tuple[str, ...], names: tuple[str, ...] = ()) -> str:
-    """Sorted forbidden keys in a JSON text at any depth."""
-    keys = f"""transform(regexp_extract_all({text}, '"([^"]+)"\\\\s*:', 1), k -> lower(k))"""
+    """Sorted forbidden keys in a JSON text at any depth.
+
+    The text is read literal by literal: quotes open and close string literals only,
+    so a literal before a colon is a key, and what looks like one inside a value is
+    part of that value's literal.  Escapes in keys are decoded.
+    """
+    literal = r"""r'"(?:[^"\\]|\\.)*"\s*:?'"""
+    named = f"filter(regexp_extract_all({text}, {literal}, 0), s -> endswith(s, ':'))"
+    keys = f"transform({named}, s -> lower(from_json(concat('[', rtrim(':', s), ']'), 'array<string>')[0]))"
     exact = " OR ".join(f"k = {lit(n)}" for n in names) or "false"
     starts = "|".join(tokens)
     hit = f"k RLIKE '(^|_)({starts})' OR {exact}"

@@ -3,18 +3,19 @@
 Volumes are never gathered per case: a case may hold any share of all voxels.
 Masks are cut into cubic tiles.  A tile is labelled on its own (at most
 ``tile**3`` cells in one task), components that touch across tile faces are then
-merged by a distributed minimum-label propagation over tile-level components.
+merged by star contraction of the tile-level components, in logarithmically many rounds.
 """
 
 from __future__ import annotations
 
-import tempfile
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from caseward.operators.connected import connected_components
+from caseward.sources.shared import stored
+
 TILE = 32
 AXES = ("z", "y", "x")
 # Cell keys keep raster order: 20 bits per axis.
@@ -26,24 +27,6 @@ def cell_key(z: str = "z", y: str = "y", x: str = "x") -> str:
     return f"((CAST({z} AS BIGINT) * {shift} + {y}) * {shift} + {x})"
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the session's checkpoint folder.
-
-    The folder comes from ``spark.checkpoint.dir``.  Only a local session without
-    one gets a temporary folder; a cluster must name a shared one.
-    """
-    spark: SparkSession = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a shared folder")
-            folder = tempfile.mkdtemp(prefix="checkpoints-")
-        context.setCheckpointDir(folder)
-    return df.checkpoint()
-
-
 def _label_tile(cells: pd.DataFrame) -> pd.DataFrame:
     """Smallest cell key of each 6-connected component inside one tile."""
     low = cells[list(AXES)].min()
@@ -93,41 +76,29 @@ def label_components(cells: DataFrame, tile: int = TILE) -> DataFrame:
             "case_id string, z int, y int, x int, root bigint",
         )
     )
-    local = checkpointed(local)
-    merged = _merge_across_tiles(local, tile)
-    if merged is None:
-        return local
-    joined = local.join(merged, ["case_id", "root"], "left")
+    local = stored(local, "tiles")
+    merged = connected_components(_faces(local, tile), ("case_id",))
+    joined = local.join(merged.withColumnRenamed("root", "label").withColumnRenamed("node", "root"), ["case_id", "root"], "left")
     return joined.select("case_id", *AXES, F.coalesce("label", "root").alias("root"))
 
 
-def _merge_across_tiles(local: DataFrame, tile: int) -> DataFrame | None:
-    """(case_id, root, label) of the local components that meet others across a face."""
-    edges = None
+def _faces(local: DataFrame, tile: int) -> DataFrame:
+    """Edges (case_id, a, b) of local components that meet across a tile face.
+
+    A cell at a face and the cell behind it share one key (the axis and the upper
+    cell), so all three axes are one grouping; a key holds two cells at most.
+    """
+    ends = []
     for axis in AXES:
-        low = local.filter(F.expr(f"pmod({axis}, {tile}) = {tile - 1}")).select(
-            "case_id", *[(F.col(a) + (1 if a == axis else 0)).alias(a) for a in AXES], F.col("root").alias("a")
-        )
-        high = local.filter(F.expr(f"pmod({axis}, {tile}) = 0")).select("case_id", *AXES, F.col("root").alias("b"))
-        part = low.join(high, ["case_id", *AXES]).select("case_id", "a", "b").distinct()
-        edges = part if edges is None else edges.unionByName(part)
-    edges = checkpointed(edges.distinct())
-    if edges.isEmpty():
-        return None
-    both = edges.unionByName(edges.select("case_id", F.col("b").alias("a"), F.col("a").alias("b")))
-    labels = both.select("case_id", F.col("a").alias("root")).distinct().withColumn("label", F.col("root"))
-    while True:
-        # A component asks its neighbours for their label; degrees are bounded by the faces of a tile.
-        asked = both.withColumnRenamed("b", "root").join(labels, ["case_id", "root"])
-        asked = asked.select("case_id", F.col("a").alias("root"), "label")
-        best = asked.groupBy("case_id", "root").agg(F.min("label").alias("seen"))
-        step = labels.join(best, ["case_id", "root"]).select(
-            "case_id", "root", F.least("label", "seen").alias("label"), (F.col("seen") < F.col("label")).alias("moved")
-        )
-        step = checkpointed(step)
-        labels = step.drop("moved")
-        if step.filter("moved").isEmpty():
-            return labels
+        for low in (1, 0):
+            upper = [f"{a} + {low}" if a == axis else a for a in AXES]
+            at = f"pmod({axis}, {tile}) = {tile - 1 if low else 0}"
+            ends.append(f"CASE WHEN {at} THEN named_struct('axis', '{axis}', 'z', {upper[0]}, 'y', {upper[1]}, 'x', {upper[2]}, 'low', {low}) END")
+    sides = local.selectExpr("case_id", "root", f"explode(filter(array({', '.join(ends)}), e -> e IS NOT NULL)) AS e").select("case_id", "root", "e.*")
+    pairs = sides.groupBy("case_id", "axis", *AXES).agg(
+        F.max(F.when(F.col("low") == 1, F.col("root"))).alias("a"), F.max(F.when(F.col("low") == 0, F.col("root"))).alias("b")
+    )
+    return pairs.filter("a IS NOT NULL AND b IS NOT NULL").select("case_id", "a", "b").distinct()
 
 
 def number_components(labelled: DataFrame) -> DataFrame:
@@ -185,7 +156,7 @@ def enclosed_cells(mask: DataFrame, tile: int = TILE) -> DataFrame:
     for axis in ("y", "z"):
         both = both.withColumn(f"in_{axis}", _has_both_neighbours(axis))
     candidates = both.filter("gap").select("case_id", *AXES, (~(F.col("in_y") & F.col("in_z"))).alias("open"))
-    candidates = checkpointed(candidates)
+    candidates = stored(candidates, "gaps")
     labelled = label_components(candidates.select("case_id", *AXES), tile)
     state = labelled.join(candidates, ["case_id", *AXES])
     closed = state.groupBy("case_id", "root").agg(F.max("open").alias("open")).filter(~F.col("open"))

@@ -40,7 +40,7 @@ def connected_components(edges: DataFrame, keys: tuple[str, ...] = ()) -> DataFr
         e = now.read()
         # Count and a sum of hashes tell whether a round changed the set of edges.
         mark = e.agg(F.count("*"), F.sum(F.pmod(F.xxhash64(*keys, "a", "b"), F.lit(1 << 40)))).first()
-        if mark == before:
+        if mark == before or not mark[0]:
             return e.select(*keys, F.col("a").alias("node"), F.col("b").alias("root"))
         before = mark
         both = e.select(*keys, F.col("a").alias("u"), F.col("b").alias("v")).unionByName(

@@ -92,7 +92,7 @@ def selection_lookup(cases: DataFrame, system_rows: DataFrame) -> DataFrame:
     """Was a case drawn into the review package, and in which stratum (H7)?"""
     drawn = system_rows.select("case_id", "selection_stage")
     # A package has 60 rows by construction.
-    joined = cases.select("case_id").join(F.broadcast(drawn), "case_id", "left")
+    joined = cases.select("case_id").join(drawn, "case_id", "left")
     return joined.selectExpr("case_id", "selection_stage IS NOT NULL AS selected", "selection_stage AS selection_stratum")
 
 

@@ -236,26 +236,33 @@ def identity_differences(left: DataFrame, right: DataFrame, fields: tuple[str, .
     pairs = left.select("case_id", *[F.col(f).alias(f"l_{f}") for f in fields]).join(
         right.select("case_id", *[F.col(f).alias(f"r_{f}") for f in fields]), "case_id"
     )
-    items = [f"CASE WHEN l_{f} <> r_{f} THEN '{f}' END" for f in fields]
+    items = [f"CASE WHEN NOT (l_{f} <=> r_{f}) THEN '{f}' END" for f in fields]
     return pairs.selectExpr("case_id", f"explode({compact(items)}) AS field")
 
 
 def hash_violations(artifacts: DataFrame, inputs: DataFrame) -> DataFrame:
     """Stored input hashes that do not match the artifact they name (V8).
 
-    ``artifacts``: (artifact_type, file_name, sha256); ``inputs``: (owner,
-    artifact_type, path, sha256).  An input is resolved by type, else by file name.
+    ``artifacts``: (run_id, artifact_type, file_name, sha256); ``inputs``: (run_id,
+    owner, artifact_type, path, sha256).  Within its run an input means the artifact
+    of its type and file name, else the only one of its type; where the run has no
+    artifact of that type, the only one of its file name.
     """
-    by_type = artifacts.select("artifact_type", F.col("sha256").alias("by_type"))
-    by_name = artifacts.select("file_name", F.col("sha256").alias("by_name"))
-    named = inputs.withColumn("file_name", F.element_at(F.split("path", "/"), -1))
-    found = named.join(by_type, "artifact_type", "left").join(by_name, "file_name", "left")
-    actual = F.coalesce("by_type", "by_name")
+    def one(*keys: str) -> DataFrame:
+        name = "_".join(("by", *keys))
+        groups = artifacts.groupBy("run_id", *keys).agg(F.count("*").alias(f"n_{name}"), F.max("sha256").alias(name))
+        return groups.withColumn(name, F.when(F.col(f"n_{name}") == 1, F.col(name)))
+
+    found = inputs.withColumn("file_name", F.element_at(F.split("path", "/"), -1))
+    for keys in (("artifact_type", "file_name"), ("artifact_type",), ("file_name",)):
+        found = found.join(one(*keys), ["run_id", *keys], "left")
+    no_type = F.col("n_by_artifact_type").isNull()
+    actual = F.coalesce("by_artifact_type_file_name", "by_artifact_type", F.when(no_type, F.col("by_file_name")))
     problem = F.when(F.coalesce(F.col("sha256"), F.lit("")) == "", "missing_hash").when(
         F.col("sha256") != actual, "hash_mismatch"
     )
     return (
-        found.filter(actual.isNotNull()).select("owner", "artifact_type", problem.alias("problem")).filter("problem IS NOT NULL")
+        found.filter(actual.isNotNull()).select("run_id", "owner", "artifact_type", problem.alias("problem")).filter("problem IS NOT NULL")
     )
 
 

@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 from caseward.config import Settings
 from caseward.operators.calibrate import calibrate
 from caseward.operators.compare import comparison_columns
-from caseward.operators.components import checkpointed
 from caseward.operators.decisions import with_decision
 from caseward.operators.report import report_pair, struct_of
 from caseward.operators.routing import with_routing
 from caseward.operators.task import restrict_to_task
+from caseward.sources.shared import stored
 
 
 def run(cases: DataFrame, validation: DataFrame, settings: Settings) -> DataFrame:
@@ -23,7 +23,7 @@ def run(cases: DataFrame, validation: DataFrame, settings: Settings) -> DataFram
     rules read them, as a run does between its stages.
     """
     view = restrict_to_task(cases, settings.task_mode)
-    reports = checkpointed(report_pair(view, settings, calibrate(view, settings)))
+    reports = stored(report_pair(view, settings, calibrate(view, settings)))
     rows = validation.select("case_id", F.struct(*[c for c in validation.columns if c != "case_id"]).alias("validation"))
     aligned = reports.join(rows, "case_id", "full_outer")
     compared = aligned.selectExpr("*", f"{struct_of(comparison_columns())} AS comparison")

@@ -127,14 +127,10 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores for a scan that yields fewer splits than cores.
-
-    A table of one small file is a single split.  At scale a scan has far more
-    splits than cores and nothing is shuffled here.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+def dealt(df: DataFrame, key: str = "o_orderkey") -> DataFrame:
+    """Rows dealt out by key before narrow columns are widened to whole cases."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, key)
 
 
 def case_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -144,7 +140,7 @@ def case_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
         .groupBy("l_orderkey")
         .agg(*[F.expr(sql).alias(name) for name, sql in LINE_TOTALS.items()])
     )
-    orders = spread(read_table(spark, sf_dir, "orders"))
+    orders = dealt(read_table(spark, sf_dir, "orders"))
     customers = read_table(spark, sf_dir, "customer")
     df = orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left").join(
         customers, F.col("o_custkey") == F.col("c_custkey"), "left"

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from caseward.config import DOMAINS
 from caseward.functions.sql import project
-from caseward.sources.derived import _project, read_table, spread
+from caseward.sources.derived import _project, read_table, dealt
 
 SEVERITY_OF = (
     "CASE ({h}) % 29 WHEN 0 THEN 'critical' WHEN 1 THEN 'high_warning' WHEN 2 THEN 'moderate_warning' WHEN 3 THEN"
@@ -64,7 +64,7 @@ REPORT_LAYERS = (LAYER_A, LAYER_B)
 
 def report_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flat report columns of both variants, one row per order."""
-    df = spread(read_table(spark, sf_dir, "orders").select("o_orderkey"))
+    df = dealt(read_table(spark, sf_dir, "orders").select("o_orderkey"))
     for layer in REPORT_LAYERS:
         df = _project(df, layer)
     return df

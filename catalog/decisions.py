@@ -10,8 +10,8 @@ from caseward.operators import compare as cp
 from caseward.operators import decisions as dc
 from caseward.operators import routing as rt
 from caseward.operators.align import align
-from caseward.operators.components import checkpointed
 from caseward.sources import derived_reports as dr
+from caseward.sources.shared import stored
 from oracle_sql import decisions as od
 from oracle_sql.qc import query
 
@@ -45,7 +45,7 @@ def decisions(spark, sf, mode):
 
 def stored_decisions(spark, sf, mode):
     """Decisions as the artifact a run leaves behind; lookups read this, not the rules."""
-    return checkpointed(decisions(spark, sf, mode))
+    return stored(decisions(spark, sf, mode))
 
 
 BOTH = "WHERE has_det OR has_cal"

@@ -15,8 +15,8 @@ from caseward.operators import review as rv
 from caseward.operators import routing as rt
 from caseward.operators import decisions as dc
 from caseward.operators.align import align
-from caseward.operators.components import checkpointed
 from caseward.sources import derived_reports as dr
+from caseward.sources.shared import stored
 from oracle_sql import decisions as od
 from oracle_sql.qc import query
 
@@ -193,13 +193,15 @@ def payloads(spark, sf):
         "k",
         "case_id",
         "concat('{\"summary\":{\"', CASE k % 6 WHEN 1 THEN 'new_Decision' WHEN 2 THEN 'blocked' WHEN 3 THEN 'traction' WHEN 4 THEN 'route_hint'"
-        " ELSE 'note' END, '\":\"decision: keep\"}}') AS payload",
+        " ELSE 'note' END, '\":\"decision: keep\"},', CASE k % 7 WHEN 1 THEN '\"text\":\"says \\\\\"route\\\\\": yes\"'"
+        " WHEN 2 THEN '\"list\":[{\"deep\":{\"Decision_x\" : 1}}]' WHEN 3 THEN '\"ro\\\\u0075te\":2' ELSE '\"n\":1' END, '}') AS payload",
     )
 
 
 @register(
     "r05_forbidden_fields",
-    f"SELECT {CASE} AS case_id, CASE o_orderkey % 6 WHEN 1 THEN 'new_decision' WHEN 2 THEN 'blocked' WHEN 4 THEN 'route_hint' ELSE '' END AS found FROM orders",
+    f"SELECT {CASE} AS case_id, array_to_string(list_sort(list_filter([CASE o_orderkey % 6 WHEN 1 THEN 'new_decision' WHEN 2 THEN 'blocked' WHEN 4 THEN 'route_hint' END,"
+    " CASE o_orderkey % 7 WHEN 2 THEN 'decision_x' WHEN 3 THEN 'route' END], lambda x: x IS NOT NULL)), '|') AS found FROM orders",
 )
 def r05(spark, sf):
     return payloads(spark, sf).selectExpr(
@@ -250,13 +252,13 @@ def responses(spark, sf):
         "concat('{\"case_id\":\"', CASE WHEN v = 1 THEN 'Cz' ELSE case_id END, '\",\"evidence_summary\":\"score ', CAST(k % 97 AS STRING),"
         " CASE v WHEN 2 THEN ' and 123456' WHEN 3 THEN ' see /home/x' WHEN 4 THEN ' looks malignant' WHEN 5 THEN ' should be reject'"
         " WHEN 6 THEN ' with made_up_flag' WHEN 7 THEN ' visualization due to noise' WHEN 8 THEN ' fov_integrity 250' ELSE '' END,"
-        " '\",\"reason_for_review_or_action\":\"keep\",\"unresolved_items\":[],\"possible_consistency_questions\":[\"why?\"],\"limitations\":[],',"
+        " '\",\"reason_for_review_or_action\":', CASE v WHEN 14 THEN '7' WHEN 15 THEN '\"keep [A]\"' WHEN 16 THEN concat('\"keep', char(27), '[A\"') ELSE '\"keep\"' END, ',\"unresolved_items\":', CASE v WHEN 17 THEN '[5]' ELSE '[]' END, ',\"possible_consistency_questions\":[\"why?\"],\"limitations\":[],',"
         " CASE WHEN v = 9 THEN '\"score_override\":1,' ELSE '' END,"
         " '\"explicit_statement_that_deterministic_policy_is_authoritative\":\"', CASE WHEN v = 10 THEN 'no statement' ELSE"
-        " 'The deterministic policy is authoritative' END, '\"}')"
+        " 'The deterministic policy is authoritative' END, '\"}', CASE v WHEN 18 THEN ' and more' ELSE '' END)"
     )
     # Ids in letters: digits of an id would count as numbers the evidence does not hold.
-    named = keys(spark, sf).selectExpr("k", "translate(case_id, '0123456789', 'abcdefghij') AS case_id", "k % 14 AS v")
+    named = keys(spark, sf).selectExpr("k", "translate(case_id, '0123456789', 'abcdefghij') AS case_id", "k % 19 AS v")
     return named.selectExpr(
         "case_id",
         f"CASE v WHEN 11 THEN '' WHEN 12 THEN 'not json' WHEN 13 THEN '{{\"case_id\":\"x\"}}' ELSE {body} END AS raw_response",
@@ -268,9 +270,9 @@ def responses(spark, sf):
 
 @register(
     "r07_response_grounding",
-    f"""SELECT translate({CASE}, '0123456789', 'abcdefghij') AS case_id, CASE o_orderkey % 14 WHEN 1 THEN 'changed_case_id' WHEN 2 THEN 'unsupported_number' WHEN 3 THEN 'path'
+    f"""SELECT translate({CASE}, '0123456789', 'abcdefghij') AS case_id, CASE o_orderkey % 19 WHEN 1 THEN 'changed_case_id' WHEN 2 THEN 'unsupported_number' WHEN 3 THEN 'path'
         WHEN 4 THEN 'medical_claim' WHEN 5 THEN 'other_action' WHEN 6 THEN 'unsupported_identifier' WHEN 7 THEN 'causal_claim'
-        WHEN 9 THEN 'wrong_keys' WHEN 10 THEN 'no_authority_statement' WHEN 11 THEN 'empty' WHEN 12 THEN 'not_json' WHEN 13 THEN 'wrong_keys' END AS violation
+        WHEN 9 THEN 'wrong_keys' WHEN 10 THEN 'no_authority_statement' WHEN 11 THEN 'empty' WHEN 12 THEN 'not_json' WHEN 13 THEN 'wrong_keys' WHEN 14 THEN 'blank_text_field' WHEN 16 THEN 'terminal_text' WHEN 17 THEN 'bad_list_field' WHEN 18 THEN 'not_json' END AS violation
         FROM orders""",
 )
 def r07(spark, sf):
@@ -386,7 +388,7 @@ def m01(spark, sf):
 @register(
     "m04_explanation_validity",
     "WITH c AS (SELECT count(*) FILTER (k % 19 <> 3) AS known, count(*) FILTER (k % 23 <> 4) AS records, count(*) FILTER (k % 19 <> 3 AND k % 23 <> 4) AS covered,"
-    " count(*) FILTER (k % 23 <> 4 AND k % 6 NOT IN (1, 2, 4)) AS clean, count(*) FILTER (k % 23 <> 4 AND k % 5 = 0) AS bare,"
+    " count(*) FILTER (k % 23 <> 4 AND k % 6 NOT IN (1, 2, 4) AND k % 7 NOT IN (2, 3)) AS clean, count(*) FILTER (k % 23 <> 4 AND k % 5 = 0) AS bare,"
     " 2 * count(*) FILTER (k % 23 <> 4 AND k % 5 <> 0) AS refs, count(*) FILTER (k % 23 <> 4 AND k % 5 <> 0 AND k % 13 <> 1)"
     " + count(*) FILTER (k % 23 <> 4 AND k % 5 <> 0 AND k % 29 <> 2) AS valid FROM (SELECT o_orderkey AS k FROM orders)) "
     + metric_sql(
@@ -474,7 +476,7 @@ def _section(name: str, sql: str) -> str:
     ),
 )
 def m09(spark, sf):
-    return au.audit_report(checkpointed(full_run(spark, sf, LESION, labels=True)), comparison(spark, sf))
+    return au.audit_report(stored(full_run(spark, sf, LESION, labels=True)), comparison(spark, sf))
 
 
 @register(
@@ -489,7 +491,7 @@ def m09(spark, sf):
     ),
 )
 def a13(spark, sf):
-    return au.confusion_matrix(checkpointed(full_run(spark, sf, LESION, labels=True)))
+    return au.confusion_matrix(stored(full_run(spark, sf, LESION, labels=True)))
 
 
 @register(
@@ -506,7 +508,7 @@ def a12(spark, sf):
     query(DECIDED + GOLD, "SELECT case_id, want AS expected_action, final_decision, want = final_decision AS agrees FROM gl WHERE want IS NOT NULL"),
 )
 def j07(spark, sf):
-    rows = checkpointed(full_run(spark, sf, LESION, labels=True)).filter(au.ELIGIBLE)
+    rows = stored(full_run(spark, sf, LESION, labels=True)).filter(au.ELIGIBLE)
     return rows.selectExpr(
         "case_id",
         "labels.expected_action",
@@ -528,13 +530,25 @@ POOL = od.base(ORGAN) + od.policy_ctes() + [
 ]
 
 
+def matched_run(spark, sf):
+    """A stored run; a case without a policy rule stops the sampling."""
+    run = stored(full_run(spark, sf, ORGAN), "run")
+    left = dc.unmatched(run.filter("final IS NOT NULL").selectExpr("case_id", "final.matched_rule AS matched_rule")).first()
+    if left is not None:
+        raise ValueError(f"no policy rule for case {left['case_id']}")
+    return run
+
+
+def matched_pool(spark, sf):
+    return rv.candidates(matched_run(spark, sf))
+
+
 @register(
     "h01_feature_tokens",
     query(POOL, "SELECT case_id, action, array_to_string(tokens, '|') AS tokens, edge, key FROM pool"),
 )
 def h01(spark, sf):
-    pool = rv.candidates(checkpointed(full_run(spark, sf, ORGAN))).filter("exists(tokens, t -> startswith(t, 'policy:'))")
-    return pool.selectExpr("case_id", "action", f"{joined('tokens')} AS tokens", "edge", "key")
+    return matched_pool(spark, sf).selectExpr("case_id", "action", f"{joined('tokens')} AS tokens", "edge", "key")
 
 
 @register("j06_sampling_join", query(POOL, "SELECT action, count(*) AS n FROM pool GROUP BY 1"))
@@ -545,20 +559,73 @@ def j06(spark, sf):
 def package(spark, sf):
     hashes = {"final": "f", "validation": "v", "deterministic": "d"}
     identity = {"run_id": "run_1", "dataset_name": "orders", "task_mode": ORGAN}
-    run = checkpointed(full_run(spark, sf, ORGAN)).filter("final.matched_rule IS NOT NULL")
-    return rv.build_package(run, TASK_PROFILES[ORGAN]["required_masks"], identity, hashes)
+    return rv.build_package(matched_run(spark, sf), TASK_PROFILES[ORGAN]["required_masks"], identity, hashes)
+
+
+def _draw(name: str, source: str, most: str, covered: str) -> str:
+    """A recursive step for each drawn case: most new tokens, then edge score, then key."""
+    return f"""{name} AS (SELECT 0 AS n, CAST([] AS VARCHAR[]) AS chosen, {covered} AS covered UNION ALL
+      SELECT n + 1, list_append(any_value(chosen), arg_min(case_id, r)), list_distinct(list_concat(any_value(covered), arg_min(tokens, r)))
+      FROM (SELECT s.n, s.chosen, s.covered, p.case_id, p.tokens, printf('%03d|%04d|%s',
+              CAST(100 - len(list_filter(p.tokens, lambda t : NOT list_contains(s.covered, t))) AS INT), CAST(1000 - p.edge AS INT), p.key) AS r
+            FROM {name} s, {source} p WHERE s.n < {most} AND NOT list_contains(s.chosen, p.case_id)) GROUP BY n)"""
+
+
+_NO_TOKENS = "CAST([] AS VARCHAR[])"
+_STRATA = {**rv.QUOTAS, "reject": rv.REJECT_QUOTA}
+_PICKED = [
+    *[f"pool_{x} AS (SELECT case_id, tokens, edge, key FROM pool WHERE action = '{x}')" for x in _STRATA],
+    *[_draw(f"draw_{x}", f"pool_{x}", str(n), _NO_TOKENS) for x, n in _STRATA.items()],
+    "quota AS ("
+    + " UNION ALL ".join(f"SELECT 'quota:{x}' AS stage, arg_max(chosen, n) AS chosen, arg_max(covered, n) AS covered FROM draw_{x}" for x in _STRATA)
+    + ")",
+    "picked AS (SELECT stage, unnest(chosen) AS case_id FROM quota)",
+    "pool_rest AS (SELECT case_id, tokens, edge, key FROM pool WHERE case_id NOT IN (SELECT case_id FROM picked))",
+    _draw("draw_rest", "pool_rest", "(SELECT 60 - count(*) FROM picked)", "(SELECT list_distinct(flatten(list(covered))) FROM quota)"),
+    "chosen AS (SELECT stage, case_id FROM picked UNION ALL SELECT 'diverse_edge_fill', unnest(c) FROM (SELECT arg_max(chosen, n) AS c FROM draw_rest))",
+    "numbered AS (SELECT *, 'R' || lpad(CAST(row_number() OVER (ORDER BY sha256('20260723:' || case_id)) AS VARCHAR), 3, '0') AS review_id FROM chosen)",
+    """package AS (SELECT sha256('{"case_ids":[' || string_agg('"' || case_id || '"', ',' ORDER BY case_id)
+      || '],"inputs":{"deterministic":"d","final":"f","validation":"v"},"seed":20260722}') AS package_id FROM chosen)""",
+]
 
 
-@register("h02_review_package")
+def picked_sql(select: str) -> str:
+    return query(POOL, "").replace("WITH ", "WITH RECURSIVE ", 1).rstrip() + ",\n" + ",\n".join(_PICKED) + "\n" + select
+
+
+@register(
+    "h02_review_package",
+    picked_sql(
+        """SELECT package_id, review_id, case_id, stage AS selection_stage, action AS system_action, coalesce(pdom, '') AS primary_domain,
+          '["' || p.rule || '"]' AS policy_rules_triggered, coalesce(observed, '') AS target_observed_presence, coalesce(annotation, '') AS target_annotation_presence,
+          coalesce(completeness, '') AS visible_target_annotation_status, coalesce(det_rec, '') AS deterministic_recommendation,
+          coalesce(det_risk, '') AS deterministic_risk_level, det_score AS deterministic_score, coalesce(val_status, '') AS dataset_validation_status,
+          'run_1' AS source_run_id, 'orders' AS dataset_name, 'pancreas_only' AS task_mode, '20260722' AS selection_seed, 'f' AS final_decisions_sha256,
+          'v' AS dataset_validation_sha256, 'd' AS deterministic_evidence_sha256
+        FROM numbered JOIN pool p USING (case_id) JOIN pz USING (case_id), package"""
+    ),
+)
 def h02(spark, sf):
     return package(spark, sf)[1]
 
 
-@register("s13_reviewer_rows")
+@register(
+    "s13_reviewer_rows",
+    picked_sql(
+        """SELECT review_id, case_id, '/data/images/' || case_id || '_0000.nii.gz' AS image_path,
+          '{"pancreas_mask":"/data/labels/' || case_id || '/segmentations/pancreas.nii.gz"}' AS mask_paths,
+          '' AS annotation_completeness, '' AS expected_action, '' AS reviewer_id, '' AS confidence, '' AS rationale FROM numbered"""
+    ),
+)
 def s13(spark, sf):
     return package(spark, sf)[0]
 
 
+@register("p12_unmatched_cases", query(od.base(ORGAN) + od.policy_ctes(), "SELECT case_id FROM pz WHERE rule IS NULL"))
+def p12_unmatched(spark, sf):
+    return dc.unmatched(full_run(spark, sf, ORGAN).filter("final IS NOT NULL").selectExpr("case_id", "final.matched_rule AS matched_rule"))
+
+
 @register(
     "w01_contenders",
     query(
@@ -566,43 +633,42 @@ def s13(spark, sf):
             "c1 AS (SELECT *, row_number() OVER (PARTITION BY action, tokens ORDER BY edge DESC, key) AS a,"
             " row_number() OVER (PARTITION BY action ORDER BY edge DESC, key) AS b FROM pool)"
         ],
-        "SELECT case_id, action, edge FROM c1 WHERE a = 1 OR b <= 120",
+        "SELECT case_id, action, edge FROM c1 WHERE a = 1 OR b <= 60",
     ),
 )
 def w01(spark, sf):
-    """The candidates a greedy selection can pick: best per token set and top 120 per action."""
-    pool = rv.candidates(checkpointed(full_run(spark, sf, ORGAN))).filter("exists(tokens, t -> startswith(t, 'policy:'))")
-    return rv.contenders(checkpointed(pool)).select("case_id", "action", "edge")
+    """The candidates a selection of 60 can draw: best per token set and top 60 per action."""
+    pool = stored(matched_pool(spark, sf), "pool")
+    return rv.contenders(pool, list(rv.ACTIONS)).select("case_id", "action", "edge")
 
 
 @register(
     "w02_blinded_order",
-    "SELECT case_id, 'R' || lpad(row_number() OVER (ORDER BY sha256('20260723:' || case_id))::VARCHAR, 3, '0') AS review_id FROM"
-    f" (SELECT {CASE} AS case_id, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 60)",
+    f"SELECT {CASE} AS case_id, 'R' || CASE WHEN n < 1000 THEN lpad(n::VARCHAR, 3, '0') ELSE n::VARCHAR END AS review_id FROM"
+    f" (SELECT o_orderkey, row_number() OVER (ORDER BY sha256('20260723:' || {CASE})) AS n FROM orders)",
 )
 def w02(spark, sf):
-    """Blinded numbering of the 60 most expensive orders (a package holds 60 cases)."""
-    from caseward.sources.derived import read_table
-
-    orders = read_table(spark, sf, "orders").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(60)
-    return rv.review_ids(orders.selectExpr("concat('C', lpad(CAST(o_orderkey AS STRING), 8, '0')) AS case_id"))
+    """Blinded numbering of all orders; a package numbers its 60 cases in the same way."""
+    return rv.review_ids(keys(spark, sf).select("case_id"))
 
 
 @register(
     "h03_review_import",
-    """SELECT 'R' || k AS review_id, unnest(list_filter([CASE WHEN k % 53 = 1 THEN 'missing_review' END, CASE WHEN k % 59 = 2 THEN 'unexpected_review' END,
-       CASE WHEN k % 61 = 3 AND k % 53 <> 1 THEN 'duplicate_review' END, CASE WHEN k % 67 = 4 AND k % 53 <> 1 AND k % 59 <> 2 THEN 'case_mismatch' END,
-       CASE WHEN k % 71 = 5 AND k % 53 <> 1 THEN 'annotation_completeness' END, CASE WHEN k % 73 = 6 AND k % 53 <> 1 THEN 'expected_action' END,
-       CASE WHEN k % 79 = 7 AND k % 53 <> 1 THEN 'reviewer_id' END, CASE WHEN k % 83 IN (8, 9) AND k % 53 <> 1 THEN 'confidence' END,
-       CASE WHEN k % 89 = 10 AND k % 53 <> 1 THEN 'rationale' END], lambda x: x IS NOT NULL)) AS violation FROM (SELECT o_orderkey AS k FROM orders)
-       WHERE NOT (k % 53 = 1 AND k % 59 = 2)""",
+    """SELECT 'R' || k AS review_id, unnest(list_filter([CASE WHEN NOT r THEN 'missing_review' END, CASE WHEN NOT f THEN 'unexpected_review' END,
+       CASE WHEN r AND k % 61 = 3 THEN 'duplicate_review' END, CASE WHEN f AND k % 97 = 11 THEN 'duplicate_reference' END,
+       CASE WHEN r AND (k % 61 = 3 OR k % 101 = 12) THEN 'duplicate_review_case' END, CASE WHEN f AND (k % 97 = 11 OR k % 101 = 12) THEN 'duplicate_reference_case' END,
+       CASE WHEN k % 101 = 12 THEN 'blank_case_id' END, CASE WHEN k % 67 = 4 AND k % 101 <> 12 AND r AND f THEN 'case_mismatch' END,
+       CASE WHEN k % 71 = 5 AND r THEN 'annotation_completeness' END, CASE WHEN k % 73 = 6 AND r THEN 'expected_action' END,
+       CASE WHEN k % 79 = 7 AND r THEN 'reviewer_id' END, CASE WHEN k % 83 IN (8, 9) AND r THEN 'confidence' END,
+       CASE WHEN k % 89 = 10 AND r THEN 'rationale' END], lambda x: x IS NOT NULL)) AS violation
+       FROM (SELECT o_orderkey AS k, o_orderkey % 53 <> 1 AS r, o_orderkey % 59 <> 2 AS f FROM orders) WHERE r OR f""",
 )
 def h03(spark, sf):
     base = keys(spark, sf)
     reviews = base.filter("k % 53 <> 1").selectExpr(
         "k",
         "concat(' R', CAST(k AS STRING)) AS review_id",
-        "CASE WHEN k % 67 = 4 THEN 'other' ELSE case_id END AS case_id",
+        "CASE WHEN k % 101 = 12 THEN ' ' WHEN k % 67 = 4 THEN concat('other', CAST(k AS STRING)) ELSE case_id END AS case_id",
         "CASE WHEN k % 71 = 5 THEN 'partly' ELSE ' Complete ' END AS annotation_completeness",
         "CASE WHEN k % 73 = 6 THEN NULL ELSE 'KEEP' END AS expected_action",
         "CASE WHEN k % 79 = 7 THEN ' ' ELSE 'r1' END AS reviewer_id",
@@ -610,8 +676,8 @@ def h03(spark, sf):
         "CASE WHEN k % 89 = 10 THEN '' ELSE 'ok' END AS rationale",
     )
     reviews = reviews.unionByName(reviews.filter("k % 61 = 3"))
-    reference = base.filter("k % 59 <> 2").selectExpr("concat('R', CAST(k AS STRING)) AS review_id", "case_id")
-    return rv.import_violations(reviews, reference)
+    reference = base.filter("k % 59 <> 2").selectExpr("k", "concat('R', CAST(k AS STRING)) AS review_id", "CASE WHEN k % 101 = 12 THEN NULL ELSE case_id END AS case_id")
+    return rv.import_violations(reviews, reference.unionByName(reference.filter("k % 97 = 11")))
 
 
 # -- lookups ----------------------------------------------------------------------------------
@@ -651,11 +717,14 @@ def h05(spark, sf):
     ),
 )
 def w07(spark, sf):
-    decided = checkpointed(dc.decide(rt.with_routing(aligned(spark, sf), LESION), LESION))
+    decided = stored(dc.decide(rt.with_routing(aligned(spark, sf), LESION), LESION))
     return lk.listing(decided, "final_decision = 'review'")
 
 
-@register("h07_selection_lookup")
+@register(
+    "h07_selection_lookup",
+    picked_sql(f"SELECT o.case_id, c.case_id IS NOT NULL AS selected, stage AS selection_stratum FROM (SELECT {CASE} AS case_id FROM orders) o LEFT JOIN chosen c USING (case_id)"),
+)
 def h07(spark, sf):
     """Every case with its stratum in the package; only the drawn 60 carry one."""
     return lk.selection_lookup(keys(spark, sf), package(spark, sf)[1])
@@ -708,7 +777,7 @@ def runs(spark, sf):
 
 def wide(spark, sf):
     """Profiles side by side, read back as the stored artifact the analysis starts from."""
-    return checkpointed(an.side_by_side(runs(spark, sf)))
+    return stored(an.side_by_side(runs(spark, sf)))
 
 
 def _suffix(ctes: list[str], tag: str, known: set[str]) -> list[str]:
@@ -833,9 +902,9 @@ def m10(spark, sf):
 )
 def j01(spark, sf):
     """Metadata of each case by key; Spark broadcasts the metadata only while it is small."""
-    from caseward.sources.derived import read_table, spread
+    from caseward.sources.derived import read_table, dealt
 
-    cases = spread(read_table(spark, sf, "orders")).selectExpr(
+    cases = dealt(read_table(spark, sf, "orders")).selectExpr(
         "concat('C', lpad(CAST(o_orderkey AS STRING), 8, '0')) AS case_id", "o_custkey AS key"
     )
     meta = read_table(spark, sf, "customer").filter("c_custkey % 4 <> 1")

@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 from caseward.operators import calibrate as cal
 from caseward.operators import validate as vd
 from caseward.sources import readers as rd
-from caseward.sources.derived import read_table, spread
+from caseward.sources.derived import read_table, dealt
 
 from catalog.base import register
 
@@ -17,7 +17,7 @@ CASE = "'C' || lpad(o_orderkey::VARCHAR, 8, '0')"
 
 
 def keys(spark, sf):
-    return spread(read_table(spark, sf, "orders").select(K)).selectExpr(
+    return dealt(read_table(spark, sf, "orders").select(K)).selectExpr(
         "o_orderkey AS k", "concat('C', lpad(CAST(o_orderkey AS STRING), 8, '0')) AS case_id"
     )
 
@@ -175,22 +175,37 @@ def j09(spark, sf):
     " FROM orders WHERE o_orderkey > 0 AND (o_orderkey % 101 = 3 OR o_orderkey % 103 = 4)",
 )
 def v08(spark, sf):
-    base = keys(spark, sf)
-    artifacts = base.selectExpr(
-        "concat('type_', CAST(k AS STRING)) AS artifact_type",
-        "concat('file_', CAST(k AS STRING), '.json') AS file_name",
-        "sha2(case_id, 256) AS sha256",
-    )
+    """Five artifacts of a run, some of one type; every second input states no known type."""
+    base = keys(spark, sf).selectExpr("*", "concat('run_', CAST(k div 5 AS STRING)) AS run_id", "concat('file_', CAST(k % 5 AS STRING), '.json') AS file_name")
+    artifacts = base.selectExpr("run_id", "concat('type_', CAST(k % 3 AS STRING)) AS artifact_type", "file_name", "sha2(case_id, 256) AS sha256")
     inputs = base.filter("k > 0").selectExpr(
+        "run_id",
         "k AS owner",
-        "CASE WHEN k % 2 = 0 THEN concat('type_', CAST(k - 1 AS STRING)) ELSE 'unknown' END AS artifact_type",
-        "concat('/runs/file_', CAST(k - 1 AS STRING), '.json') AS path",
-        "CASE WHEN k % 101 = 3 THEN sha2('other', 256) WHEN k % 103 = 4 THEN NULL ELSE"
-        " sha2(concat('C', lpad(CAST(k - 1 AS STRING), 8, '0')), 256) END AS sha256",
+        "CASE WHEN k % 2 = 0 THEN concat('type_', CAST(k % 3 AS STRING)) ELSE 'unknown' END AS artifact_type",
+        "concat('/runs/', file_name) AS path",
+        "CASE WHEN k % 101 = 3 THEN sha2('other', 256) WHEN k % 103 = 4 THEN NULL ELSE sha2(case_id, 256) END AS sha256",
     )
     return vd.hash_violations(artifacts, inputs).select("owner", "problem")
 
 
+@register(
+    "v07_identity_differences",
+    f"SELECT {CASE} AS case_id, unnest(list_filter([CASE WHEN o_orderkey % 11 = 2 THEN 'run_id' END, CASE WHEN o_orderkey % 13 = 3 THEN 'dataset_name' END,"
+    " CASE WHEN o_orderkey % 17 = 4 THEN 'task_mode' END], lambda x: x IS NOT NULL)) AS field FROM orders WHERE o_orderkey % 19 <> 5",
+)
+def v07_identity(spark, sf):
+    """Values that differ, are missing on one side, or missing on both (no difference)."""
+    base = keys(spark, sf)
+    left = base.selectExpr("case_id", "'r1' AS run_id", "CASE WHEN k % 26 = 3 THEN NULL ELSE 's1' END AS dataset_name", "CASE WHEN k % 5 = 0 THEN NULL ELSE 'm1' END AS task_mode")
+    right = base.filter("k % 19 <> 5").selectExpr(
+        "case_id",
+        "CASE WHEN k % 11 = 2 THEN NULL ELSE 'r1' END AS run_id",
+        "CASE WHEN k % 13 = 3 THEN 's2' ELSE 's1' END AS dataset_name",
+        "CASE WHEN k % 17 = 4 THEN 'm2' WHEN k % 5 = 0 THEN NULL ELSE 'm1' END AS task_mode",
+    )
+    return vd.identity_differences(left, right, ("run_id", "dataset_name", "task_mode"))
+
+
 FINGERPRINT = (
     "SELECT count(*) AS n_rows, sha256(concat_ws(':', count(*)::VARCHAR, "
     + ", ".join(f"coalesce(sum(('0x' || substr(h, {1 + 15 * i}, 15))::BIGINT), 0)::VARCHAR" for i in range(4))
@@ -205,7 +220,7 @@ FINGERPRINT = (
 def s08(spark, sf):
     """Order-free content hash of the line items."""
     text = F.concat_ws("|", "l_orderkey", "l_linenumber", "l_returnflag", "l_partkey")
-    return cal.fingerprint_of(spread(read_table(spark, sf, "lineitem")).select(text.alias("text")))
+    return cal.fingerprint_of(dealt(read_table(spark, sf, "lineitem"), "l_orderkey").select(text.alias("text")))
 
 
 @register(
@@ -271,7 +286,7 @@ CASE_SCHEMA = T.StructType([T.StructField("score", T.LongType()), T.StructField(
 @register("s03_case_map", f"SELECT {CASE} AS case_id, o_orderkey % 101 AS score, o_orderstatus AS status FROM orders")
 def s03(spark, sf):
     """Cases written as JSON documents in the four shapes and read back."""
-    orders = spread(read_table(spark, sf, "orders").select(K, "o_orderstatus"))
+    orders = dealt(read_table(spark, sf, "orders").select(K, "o_orderstatus"))
     entry = F.expr(
         "map(concat('C', lpad(CAST(o_orderkey AS STRING), 8, '0')), struct(o_orderkey % 101 AS score, o_orderstatus AS status))"
     )
@@ -287,7 +302,7 @@ def s03(spark, sf):
 @register("s04_record_collection", f"SELECT {CASE} AS case_id, o_orderstatus AS status FROM orders")
 def s04(spark, sf):
     """Rows under alternative keys, as map or list, keyed by case_id or id."""
-    orders = spread(read_table(spark, sf, "orders").select(K, "o_orderstatus"))
+    orders = dealt(read_table(spark, sf, "orders").select(K, "o_orderstatus"))
     rows = orders.selectExpr("o_orderkey % 3 AS s", "concat('C', lpad(CAST(o_orderkey AS STRING), 8, '0')) AS c", "o_orderstatus AS st")
     texts = rows.selectExpr(
         "CASE s WHEN 0 THEN concat('{\"cases\":{\"', c, '\":{\"status\":\"', st, '\"}}}')"
@@ -372,8 +387,8 @@ def s09m(spark, sf):
 
 @register(
     "w05_duplicate_resolution",
-    "SELECT l_orderkey AS case_key, arg_max(l_returnflag, l_linenumber * 100000 + l_partkey) AS later_wins,"
-    " arg_min(l_returnflag, l_linenumber * 100000 + l_partkey) AS first_wins FROM lineitem GROUP BY 1",
+    "SELECT l_orderkey AS case_key, arg_max(l_returnflag, (l_linenumber * 100000 + l_partkey) * 256 + ascii(l_returnflag)) AS later_wins,"
+    " arg_min(l_returnflag, (l_linenumber * 100000 + l_partkey) * 256 + ascii(l_returnflag)) AS first_wins FROM lineitem GROUP BY 1",
 )
 def w05(spark, sf):
     from caseward.operators.align import first_by, latest_by

@@ -1,4 +1,4 @@
-"""Review sampling: exactly 60, stratified, reproducible, equal to a plain greedy model."""
+"""Review sampling: exactly 60, stratified, reproducible, no better case left out at any step."""
 
 import hashlib
 
@@ -19,33 +19,34 @@ def pool_rows():
     return rows
 
 
-def model(rows):
-    def greedy(left, count, covered):
-        out = []
-        while left and len(out) < count:
-            best = min(left, key=lambda r: (-len(set(r[2]) - covered), -r[3], r[4]))
-            out.append(best)
-            covered |= set(best[2])
-            left = [r for r in left if r is not best]
-        return out
-
-    chosen, covered = [], set()
-    for action, quota in [("keep", 15), ("warning", 15), ("review", 15), ("reject", 15)]:
-        for r in greedy([r for r in rows if r[1] == action], quota, set()):
-            chosen.append((r[0], f"quota:{action}"))
-            covered |= set(r[2])
-    taken = {c for c, _ in chosen}
-    for r in greedy([r for r in rows if r[0] not in taken], 60 - len(chosen), covered):
-        chosen.append((r[0], "diverse_edge_fill"))
-    return chosen
-
-
-@pytest.mark.parametrize("driver_rows", [200_000, 0])
-def test_selection_equals_the_plain_model(spark, monkeypatch, driver_rows):
-    monkeypatch.setattr(rv, "DRIVER_ROWS", driver_rows)
-    rows = pool_rows()
+def worth(row, covered):
+    return (len(set(row[2]) - covered), row[3], [-ord(c) for c in row[4]])
+
+
+def test_no_case_left_out_is_worth_more(spark):
+    rows = {r[0]: r for r in pool_rows()}
+    got = rv.select_cases(spark.createDataFrame(list(rows.values()), SCHEMA).repartition(5))
+    assert got == rv.select_cases(spark.createDataFrame(list(rows.values()), SCHEMA))
+    assert len({c for c, _ in got}) == 60
+    stages = [s for _, s in got]
+    assert [stages.count(f"quota:{a}") for a in ("keep", "warning", "review", "reject")] == [15, 15, 15, 6]
+    everything = set()
+    for stage in dict.fromkeys(stages):
+        drawn = [c for c, s in got if s == stage]
+        fill = stage == "diverse_edge_fill"
+        covered = set(everything) if fill else set()
+        before = {c for c, s in got if s != stage} if fill else set()
+        for n, case in enumerate(drawn):
+            open_ = [r for r in rows.values() if r[0] not in {*drawn[:n], *before} and (fill or r[1] == stage[6:])]
+            assert max(worth(r, covered) for r in open_) == worth(rows[case], covered)
+            covered |= set(rows[case][2])
+        everything |= covered
+
+
+def test_actions_without_a_quota_can_fill(spark):
+    rows = [r if r[1] != "insufficient_evidence" else (r[0], "other", ["domain:new"], 99, r[4]) for r in pool_rows()]
     got = rv.select_cases(spark.createDataFrame(rows, SCHEMA))
-    assert len(got) == 60 and sorted(got) == sorted(model(rows))
+    assert len({c for c, s in got if rows[int(c[4:])][1] == "other"}) == 9
 
 
 def test_too_few_cases_fail(spark):
@@ -53,14 +54,27 @@ def test_too_few_cases_fail(spark):
         rv.select_cases(spark.createDataFrame(pool_rows()[:50], SCHEMA))
 
 
-def test_import_rejects_foreign_package(spark):
+def test_import_checks_the_whole_package(spark):
     fields = "review_id string, case_id string, annotation_completeness string, expected_action string, reviewer_id string, confidence string, rationale string"
-    review = spark.createDataFrame([("R001", "a", "Complete", "KEEP", "r", "0.5", "fine")], fields)
-    hashes = {"final": "f", "validation": "v", "deterministic": "d"}
-    pid = rv.package_id(7, hashes, ["a"])
+    ids = [f"c{n}" for n in range(60)]
+    pid = rv.package_id(7, {"final": "f", "validation": "v", "deterministic": "d"}, ids)
     ref = "package_id string, review_id string, case_id string, selection_seed string, final_decisions_sha256 string, dataset_validation_sha256 string, deterministic_evidence_sha256 string"
-    good = spark.createDataFrame([(pid, "R001", "a", "7", "f", "v", "d")], ref)
-    bad = spark.createDataFrame([("other", "R001", "a", "7", "f", "v", "d")], ref)
-    assert rv.import_labels(review, good).first()["expected_action"] == "keep"
-    with pytest.raises(ValueError):
-        rv.import_labels(review, bad)
+
+    def review(rows):
+        return spark.createDataFrame([(f"R{n:03d}", c, "Complete", "KEEP", "r", "0.5", "fine") for n, c in rows], fields)
+
+    def reference(rows, package):
+        return spark.createDataFrame([(package, f"R{n:03d}", c, "7", "f", "v", "d") for n, c in rows], ref)
+
+    rows = list(enumerate(ids))
+    assert {r["expected_action"] for r in rv.import_labels(review(rows), reference(rows, pid)).collect()} == {"keep"}
+    for package, part in (("other", rows), (pid, rows[:59]), (pid, [*rows, (60, "c60")]), (pid, [*rows[:59], (59, "c0")]), (pid, [*rows[:59], (58, "c59")]), (pid, [*rows[:59], (59, " ")])):
+        with pytest.raises(ValueError):
+            rv.import_labels(review(part), reference(part, package)).collect()
+
+
+def test_blinded_numbers_are_one_order(spark):
+    cases = [f"c{n}" for n in range(1200)]
+    rows = rv.review_ids(spark.createDataFrame([(c,) for c in cases], "case_id string"), 5).collect()
+    want = sorted(cases, key=lambda c: hashlib.sha256(f"6:{c}".encode()).hexdigest())
+    assert {r["case_id"]: r["review_id"] for r in rows} == {c: f"R{n:03d}" for n, c in enumerate(want, 1)}

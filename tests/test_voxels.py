@@ -67,3 +67,46 @@ def test_erosion_matches_brute_force(spark):
     cells = volume(5, 0.95)
     got = {tuple(r)[1:] for r in cc.erode(frame(spark, {"a": cells})).collect()}
     assert got == {c for c in cells if all(tuple(a + d for a, d in zip(c, s)) in cells for s in STEPS)}
+
+
+def test_a_winding_tube_needs_few_rounds(spark, monkeypatch):
+    """A tube through more than 200 tiles of side 2 is one component after ten rounds at most."""
+    from caseward.operators import connected
+
+    path = []
+    for y in range(0, 40, 2):
+        path += [(0, y, x) for x in (range(24) if y % 4 == 0 else range(23, -1, -1))]
+        path.append((0, y + 1, 23 if y % 4 == 0 else 0))
+    rounds = []
+
+    class Counted(connected.Stored):
+        def __init__(self, df, name):
+            rounds.append(name)
+            super().__init__(df, name)
+
+    monkeypatch.setattr(connected, "Stored", Counted)
+    got = cc.label_components(spark.createDataFrame([("t", *c) for c in path], "case_id string, z int, y int, x int"), 2)
+    assert got.select("root").distinct().count() == 1 and got.count() == len(path)
+    assert len(rounds) - 1 <= 10
+
+
+def test_tasks_need_no_copy_of_the_package(spark, tmp_path):
+    """A job started elsewhere ships the functions that its tasks run."""
+    import os
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = f"""
+import sys
+sys.path.append({root!r})
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local-cluster[1,1,1024]").config("spark.ui.enabled", "false").config("spark.checkpoint.dir", {str(tmp_path / "shared")!r}).getOrCreate()
+from caseward.operators import components
+cells = spark.createDataFrame([("t", 0, 0, x) for x in range(9)], "case_id string, z int, y int, x int")
+print("roots", components.label_components(cells, 2).select("root").distinct().count())
+spark.stop()
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"} | {"SPARK_LOCAL_IP": "127.0.0.1", "SPARK_SCALA_VERSION": "2.13"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert "roots 1" in done.stdout, done.stderr[-2000:]
