@@ -246,8 +246,14 @@ def filled_support(voxels: DataFrame, tile: int = 32) -> DataFrame:
 def overlap_analysis(
     voxels: DataFrame, geometry: DataFrame, subregions: bool = True, tile: int = 32
 ) -> DataFrame:
-    """Lesion overlap with four supports and the two gain flags."""
+    """Lesion overlap with four supports and the two gain flags.
+
+    Regions are available when a region mask was loaded, even an empty one: the
+    geometry rows tell, not the voxels.
+    """
     stats = mask_statistics(voxels, geometry)
+    loaded = geometry.filter(F.col("resource").isin(*REGIONS) & F.col("exists") & F.col("readable"))
+    loaded = loaded.groupBy("case_id").agg(F.count("*").alias("n_region_masks"))
     # Only lesion cells outside the combined support can gain from filled holes.
     outside = voxels.filter(f"lesion > 0 AND NOT {COMBINED}").select("case_id", *AXES)
     gained = (
@@ -255,7 +261,7 @@ def overlap_analysis(
         .groupBy("case_id")
         .agg(F.count("*").alias("gained_n"))
     )
-    df = stats.join(gained, "case_id", "left")
+    df = stats.join(gained, "case_id", "left").join(loaded, "case_id", "left")
     df = project(
         df,
         {
@@ -264,7 +270,7 @@ def overlap_analysis(
             "regions_union_mm3": volume("lesion_regions_n"),
             "combined_pancreas_mm3": volume("lesion_combined_n"),
             "combined_filled_mm3": volume("(lesion_combined_n + coalesce(gained_n, 0))"),
-            "regions_available": "head_n + body_n + tail_n > 0" if subregions else "false",
+            "regions_available": "coalesce(n_region_masks, 0) > 0" if subregions else "false",
         },
         ["case_id"],
     )

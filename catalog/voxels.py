@@ -16,6 +16,8 @@ from oracle_sql.qc import cases_ctes, query, task_cte
 from catalog.base import register
 
 V = vo.voxel_ctes()
+#: Smaller than the derived volumes, so that components and holes cross tiles.
+TILE = 4
 
 
 @register(
@@ -120,7 +122,7 @@ def g07(spark, sf):
     ),
 )
 def g08(spark, sf):
-    labelled = vx.lesion_components(dv.voxels(spark, sf))
+    labelled = vx.lesion_components(dv.voxels(spark, sf), TILE)
     return labelled.join(cc.number_components(labelled), ["case_id", "root"]).drop("root")
 
 
@@ -137,7 +139,7 @@ _PER = """SELECT case_id, lesion_id, round_even(n * vv3, 4) AS volume_mm3, round
 
 @register("g09_per_lesion", vo.recursive(V + vo.component_ctes(), _PER))
 def g09(spark, sf):
-    table = vx.per_lesion(dv.voxels(spark, sf), dv.geometry(spark, sf))
+    table = vx.per_lesion(dv.voxels(spark, sf), dv.geometry(spark, sf), TILE)
     return table.select(
         "case_id",
         "lesion_id",
@@ -182,29 +184,30 @@ def g10(spark, sf):
 
 @register("g11_hole_filling", vo.recursive(V + vo.hole_ctes(), "SELECT case_id, z, y, x FROM hole"))
 def g11(spark, sf):
-    return vx.filled_support(dv.voxels(spark, sf))
+    return vx.filled_support(dv.voxels(spark, sf), TILE)
 
 
 _OVERLAP = f"""SELECT case_id, les AS lesion_mm3, a AS pancreas_total_mm3, b AS regions_union_mm3, c AS combined_pancreas_mm3,
   d AS combined_filled_mm3, round_even(a / les, 6) AS pancreas_total_rate, round_even(c / les, 6) AS combined_pancreas_rate,
   round_even(d / les, 6) AS combined_filled_rate,
   coalesce(round_even(d / les, 6), 0) - coalesce(round_even(c / les, 6), 0) > 0.1e0 AS hole_filling_changed_overlap,
-  coalesce(round_even(c / les, 6), 0) - coalesce(round_even(a / les, 6), 0) > 0.1e0 AS regions_added_overlap
+  coalesce(round_even(c / les, 6), 0) - coalesce(round_even(a / les, 6), 0) > 0.1e0
+    AND coalesce(rl, 0) > 0 AS regions_added_overlap, round_even(b / les, 6) AS regions_union_rate, coalesce(rl, 0) > 0 AS regions_available,
+  CASE WHEN coalesce(rl, 0) > 0 THEN 'regions_union' ELSE 'combined_filled_pancreas' END AS overlap_reference
   FROM (SELECT v.case_id, nullif(round_even(count(*) FILTER (lesion > 0) * any_value(vv3), 4), 0) AS les,
     round_even(count(*) FILTER (lesion > 0 AND pancreas > 0) * any_value(vv3), 4) AS a,
     round_even(count(*) FILTER (lesion > 0 AND {vo.REG}) * any_value(vv3), 4) AS b,
     round_even(count(*) FILTER (lesion > 0 AND {vo.COM}) * any_value(vv3), 4) AS c,
     round_even(count(*) FILTER (lesion > 0 AND ({vo.COM} OR h.case_id IS NOT NULL)) * any_value(vv3), 4) AS d
     FROM vox v LEFT JOIN hole h ON h.case_id = v.case_id AND h.z = v.z AND h.y = v.y AND h.x = v.x JOIN img ON ic = v.case_id
-    GROUP BY v.case_id)"""
+    GROUP BY v.case_id) LEFT JOIN (SELECT case_id, count(*) AS rl FROM geo WHERE resource IN ('head', 'body', 'tail') AND "exists" AND readable
+    GROUP BY case_id) USING (case_id)"""
 
 
 @register("g12_overlap_analysis", vo.recursive(V + vo.hole_ctes(), _OVERLAP))
 def g12(spark, sf):
-    table = vx.overlap_analysis(dv.voxels(spark, sf), dv.geometry(spark, sf))
-    return table.drop("regions_available", "regions_union_rate", "overlap_reference").withColumn(
-        "lesion_mm3", F.expr("nullif(lesion_mm3, 0)")
-    )
+    table = vx.overlap_analysis(dv.voxels(spark, sf), dv.geometry(spark, sf), tile=TILE)
+    return table.withColumn("lesion_mm3", F.expr("nullif(lesion_mm3, 0)"))
 
 
 _REGION = """SELECT case_id, round_even(sum(head) * v, 4) AS head_mm3, round_even(sum(body) * v, 4) AS body_mm3,
@@ -375,6 +378,6 @@ def g22(spark, sf):
 def j10(spark, sf):
     table = dv.voxels(spark, sf)
     lesion = table.filter("lesion > 0").select("case_id", "z", "y", "x")
-    return lesion.join(vx.filled_support(table), ["case_id", "z", "y", "x"], "left_semi").groupBy("case_id").agg(
+    return lesion.join(vx.filled_support(table, TILE), ["case_id", "z", "y", "x"], "left_semi").groupBy("case_id").agg(
         F.count("*").alias("n")
     )
