@@ -52,7 +52,12 @@ def discover(spark: SparkSession, folder: str, suffix: str = "_0000.nii.gz") ->
 def inventory(spark: SparkSession, folder: str, glob: str = "*") -> DataFrame:
     """Files with size and SHA-256."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(folder)
-    return files.select("path", F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("sha256"))
+    return hashed(files)
+
+
+def hashed(resources: DataFrame) -> DataFrame:
+    """(path, size_bytes, sha256) of resources (path, content), one row and at most 2 GB each."""
+    return resources.select("path", F.octet_length("content").cast("long").alias("size_bytes"), F.sha2("content", 256).alias("sha256"))
 
 
 def metadata_rows(raw: DataFrame, key: str, order: str, columns: dict[str, str] = METADATA_COLUMNS) -> DataFrame:

@@ -614,9 +614,23 @@ def s10(spark, sf):
     return rp.flat_report(first(spark, sf))
 
 
-@register("s12_debug_records")
+@register(
+    "s12_debug_records",
+    _sql(
+        FULL,
+        "f3",
+        "SELECT case_id, score, risk1 AS risk_level, sw AS secondary_weighted_sum, c_lesion_localization = 0 AS fallback_active, "
+        + ", ".join(f"CAST(c_{d} AS DOUBLE) AS {d}" for d in DOMAINS)
+        + " FROM f3",
+    ),
+)
 def s12(spark, sf):
-    return rp.debug_records(first(spark, sf), Settings(FULL))
+    """The fields of the debug records, read back from their JSON texts."""
+    records = rp.debug_records(first(spark, sf), Settings(FULL))
+    fields = "score INT, risk_level STRING, score_components MAP<STRING, DOUBLE>, scoring_details STRUCT<secondary_weighted_sum: DOUBLE, fallback_active: BOOLEAN>"
+    return records.selectExpr("case_id", f"from_json(record, '{fields}') AS r").selectExpr(
+        "case_id", "r.score", "r.risk_level", "r.scoring_details.*", *[f"r.score_components['{d}'] AS {d}" for d in DOMAINS]
+    )
 
 
 # -- calibration ---------------------------------------------------------------------------

@@ -346,12 +346,14 @@ def s06(spark, sf):
     return rd.confirmation_violations(records, base.filter("k % 56 <> 0").select("case_id"), "pancreas_lesion")
 
 
-@register("s07_resource_inventory")
+@register(
+    "s07_resource_inventory",
+    "SELECT 'doc_' || doc_id AS path, CAST(octet_length(encode(text)) AS BIGINT) AS size_bytes, sha256(text) AS sha256 FROM documents",
+)
 def s07(spark, sf):
-    """Size and hash of the given table files."""
-    return rd.inventory(spark, sf, "*.parquet").select(
-        F.element_at(F.split("path", "/"), -1).alias("name"), "size_bytes", "sha256"
-    )
+    """Size and hash of the documents as resources."""
+    documents = read_table(spark, sf, "documents")
+    return rd.hashed(documents.selectExpr("concat('doc_', CAST(doc_id AS STRING)) AS path", "encode(text, 'UTF-8') AS content"))
 
 
 _RUNS = """runs AS (SELECT 'run_' || lpad((o_orderkey // 5)::VARCHAR, 8, '0') AS run_id, 'set_' || (o_orderkey // 5) % 7 AS dataset_name,
