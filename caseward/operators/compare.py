@@ -54,6 +54,16 @@ def compare_aligned(aligned: DataFrame) -> DataFrame:
     return project(aligned, comparison_columns(), ["case_id"])
 
 
+def with_comparison(aligned: DataFrame, absent: str = "false") -> DataFrame:
+    """The comparison as a column of rows that already hold both variants: no further alignment.
+
+    It is null where both variants are, or where ``absent`` (SQL) says that the run has none.
+    """
+    there = f"NOT ({absent}) AND (deterministic IS NOT NULL OR calibrated IS NOT NULL)"
+    fields = ", ".join(f"'{name}', {sql}" for name, sql in comparison_columns().items())
+    return aligned.withColumn("comparison", F.expr(f"CASE WHEN {there} THEN named_struct({fields}) END"))
+
+
 def transitions(comparison: DataFrame) -> DataFrame:
     """Counts per recommendation pair (A1)."""
     pair = F.concat_ws("->", "recommendation_deterministic", "recommendation_calibrated")

@@ -9,6 +9,7 @@ from caseward.functions.sql import project
 from caseward.operators import analysis as an
 from caseward.operators import audit as au
 from caseward.operators import claims as cl
+from caseward.operators import compare as cp
 from caseward.operators import grounding as gr
 from caseward.operators import lookups as lk
 from caseward.operators import review as rv
@@ -21,7 +22,7 @@ from oracle_sql import decisions as od
 from oracle_sql.qc import query
 
 from catalog.base import joined, register
-from catalog.decisions import FULL, LESION, ORGAN, aligned, comparison
+from catalog.decisions import FULL, LESION, NOT_COMPARED, ORGAN, aligned, comparison
 from catalog.validation import CASE, keys
 
 NUM = "CAST(substring(case_id, 2) AS BIGINT)"
@@ -32,12 +33,11 @@ def full_run(spark, sf, mode, labels=False):
     parts = dict(
         deterministic=dr.deterministic_reports(spark, sf),
         calibrated=dr.calibrated_reports(spark, sf),
-        comparison=comparison(spark, sf),
         validation=dr.validation_rows(spark, sf),
     )
     if labels:
         parts["labels"] = human_labels(spark, sf)
-    rows = align(**parts)
+    rows = cp.with_comparison(align(**parts), NOT_COMPARED)
     return dc.with_decision(rt.with_routing(rows, mode), mode)
 
 
