@@ -133,12 +133,51 @@ def _has_both_neighbours(axis: str):
     )
 
 
-def erode(cells: DataFrame) -> DataFrame:
-    """Cells whose six neighbours are all in the mask; outside counts as background."""
-    out = cells.select("case_id", *AXES)
+def with_halo(cells: DataFrame, halo: str = "true", tile: int = TILE) -> DataFrame:
+    """Cells with their tile (tz, ty, tx) and ``own``.
+
+    A cell on a tile's face for which ``halo`` (SQL) holds comes a second time, not
+    ``own``, with the tile behind that face: a tile then knows all neighbours of its
+    cells, and one shuffle is enough.
+    """
+    here = {f"t{a}": f"CAST(floor({a} / {tile}) AS INT)" for a in AXES}
+    places = [_place(here, True)]
     for axis in AXES:
-        out = out.withColumn(f"in_{axis}", _has_both_neighbours(axis))
-    return out.filter(" AND ".join(f"in_{a}" for a in AXES)).select("case_id", *AXES)
+        for edge, step in ((0, -1), (tile - 1, 1)):
+            there = here | {f"t{axis}": f"{here[f't{axis}']} + {step}"}
+            places.append(f"CASE WHEN pmod({axis}, {tile}) = {edge} AND ({halo}) THEN {_place(there, False)} END")
+    return cells.selectExpr("*", f"inline(filter(array({', '.join(places)}), p -> p IS NOT NULL))")
+
+
+def _place(tiles: dict[str, str], own: bool) -> str:
+    return "named_struct(" + ", ".join(f"'{k}', {v}" for k, v in tiles.items()) + f", 'own', {str(own).lower()})"
+
+
+def surrounded(pos: np.ndarray) -> np.ndarray:
+    """Which of the cells (z, y, x) have all six neighbours among them."""
+    if not len(pos):
+        return np.zeros(0, bool)
+    at = pos - (pos.min(axis=0) - 1)
+    grid = np.zeros(at.max(axis=0) + 2, bool)
+    grid[tuple(at.T)] = True
+    out = np.ones(len(at), bool)
+    for axis in range(3):
+        for step in (-1, 1):
+            near = at.copy()
+            near[:, axis] += step
+            out &= grid[tuple(near.T)]
+    return out
+
+
+def erode(cells: DataFrame, tile: int = TILE) -> DataFrame:
+    """Cells whose six neighbours are all in the mask; outside counts as background."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        inner = surrounded(pdf[list(AXES)].to_numpy())
+        return pdf.loc[inner & pdf["own"].to_numpy(), ["case_id", *AXES]]
+
+    rows = with_halo(cells.selectExpr("case_id", *[f"CAST({a} AS INT) AS {a}" for a in AXES]), tile=tile)
+    return rows.groupBy("case_id", *[f"t{a}" for a in AXES]).applyInPandas(run, "case_id string, z int, y int, x int")
 
 
 def enclosed_cells(mask: DataFrame, tile: int = TILE) -> DataFrame:

@@ -8,6 +8,8 @@ cells come from one conditional aggregate per case, combined map-side.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,7 +23,7 @@ from caseward.config import (
     REGIONS,
 )
 from caseward.functions.sql import case, lit, project
-from caseward.operators.components import AXES, enclosed_cells, erode, label_components, number_components
+from caseward.operators.components import AXES, TILE, enclosed_cells, label_components, number_components, surrounded, with_halo
 
 MASKS = ("pancreas", "lesion", "head", "body", "tail")
 REGION_UNION = "(head > 0 OR body > 0 OR tail > 0)"
@@ -291,20 +293,33 @@ def overlap_analysis(
 QUANTILES = ((5, "p05"), (25, "p25"), (50, "median"), (75, "p75"), (95, "p95"))
 
 
-def hu_histogram(voxels: DataFrame) -> DataFrame:
+def hu_histogram(voxels: DataFrame, tile: int = TILE) -> DataFrame:
     """Cells per case and HU value, for tumour, organ without tumour and its eroded core.
 
-    CT stores at most 16 bits per voxel, so a case has at most 65,536 values and
-    everything after this aggregate is independent of the number of voxels.
+    Tiles with a halo of organ cells erode and count on their own: one shuffle of
+    the voxels, none of the counts but their sums.  CT stores at most 16 bits per
+    voxel, so a case has at most 65,536 values and everything after this aggregate is
+    independent of the number of voxels.
     """
-    organ = voxels.filter("pancreas > 0 AND NOT lesion > 0").select("case_id", *AXES)
-    core = erode(organ).withColumn("in_core", F.lit(1))
-    cells = voxels.join(core, ["case_id", *AXES], "left")
-    return cells.groupBy("case_id", "hu").agg(
-        F.expr("count_if(lesion > 0)").alias("n_tumor"),
-        F.expr("count_if(pancreas > 0 AND NOT lesion > 0)").alias("n_organ"),
-        F.expr("count_if(in_core = 1)").alias("n_core"),
-    )
+    counts = ["n_tumor", "n_organ", "n_core"]
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        organ = pdf["n_organ"].to_numpy() > 0
+        core = np.zeros(len(pdf), np.int64)
+        core[organ] = surrounded(pdf.loc[organ, list(AXES)].to_numpy())
+        own = pdf.assign(n_core=core)[pdf["own"].to_numpy()]
+        return own.groupby(["case_id", "hu"], as_index=False)[counts].sum()[["case_id", "hu", *counts]]
+
+    cells = voxels.selectExpr(
+        "case_id",
+        *[f"CAST({a} AS INT) AS {a}" for a in AXES],
+        "hu",
+        "CAST(lesion > 0 AS BIGINT) AS n_tumor",
+        "CAST(pancreas > 0 AND NOT lesion > 0 AS BIGINT) AS n_organ",
+    ).na.fill(0, ["n_tumor", "n_organ"])
+    dealt = with_halo(cells.filter("hu IS NOT NULL OR n_organ > 0"), "n_organ > 0", tile).groupBy("case_id", *[f"t{a}" for a in AXES])
+    parts = dealt.applyInPandas(run, f"case_id string, hu {dict(voxels.dtypes)['hu']}, n_tumor bigint, n_organ bigint, n_core bigint")
+    return parts.groupBy("case_id", "hu").agg(*[F.sum(c).alias(c) for c in counts])
 
 
 def _weighted(prefix: str, count: str) -> list:

@@ -248,7 +248,7 @@ def g14(spark, sf):
 
 @register("g15_erosion", query(V + vo.core_ctes(), "SELECT case_id, z, y, x FROM core"))
 def g15(spark, sf):
-    return cc.erode(dv.voxels(spark, sf).filter("pancreas > 0 AND lesion = 0"))
+    return cc.erode(dv.voxels(spark, sf).filter("pancreas > 0 AND lesion = 0"), TILE)
 
 
 def hu(spark, sf):
