@@ -303,8 +303,18 @@ def label_counts(labels: DataFrame) -> DataFrame:
     return labels.groupBy("reviewer_id", "expected_action").agg(F.count("*").alias("n"))
 
 
-def audit_report(aligned: DataFrame, comparison: DataFrame) -> DataFrame:
-    """All metrics of a run in one long table (M9)."""
+def audit_report(
+    aligned: DataFrame,
+    comparison: DataFrame,
+    explanations: DataFrame | None = None,
+    pairs: DataFrame | None = None,
+    tokens: tuple[str, ...] = (),
+) -> DataFrame:
+    """All metrics of a run in one long table (M9).
+
+    ``explanations`` are the records of M4 (judged by ``tokens``), ``pairs`` those of
+    M7; a run without them has no such section.
+    """
     parts = {
         "artifact_integrity": artifact_integrity(aligned, "validation", ("deterministic", "calibrated", "routing", "final")),
         "evidence_stability": evidence_stability(comparison),
@@ -312,6 +322,10 @@ def audit_report(aligned: DataFrame, comparison: DataFrame) -> DataFrame:
         "policy_safety": policy_safety(aligned),
         "golden_validation": golden_validation(aligned),
     }
+    if explanations is not None:
+        parts["explanation_validity"] = explanation_validity(explanations, aligned.select("case_id"), tokens)
+    if pairs is not None:
+        parts["task_pair_consistency"] = task_pair_consistency(pairs)
     out = None
     for section, table in parts.items():
         table = table.select(F.lit(section).alias("section"), "*")

@@ -268,17 +268,28 @@ def responses(spark, sf):
     )
 
 
-@register(
-    "r07_response_grounding",
-    f"""SELECT translate({CASE}, '0123456789', 'abcdefghij') AS case_id, CASE o_orderkey % 19 WHEN 1 THEN 'changed_case_id' WHEN 2 THEN 'unsupported_number' WHEN 3 THEN 'path'
+R7_SQL = f"""SELECT translate({CASE}, '0123456789', 'abcdefghij') AS case_id, CASE o_orderkey % 19 WHEN 1 THEN 'changed_case_id' WHEN 2 THEN 'unsupported_number' WHEN 3 THEN 'path'
         WHEN 4 THEN 'medical_claim' WHEN 5 THEN 'other_action' WHEN 6 THEN 'unsupported_identifier' WHEN 7 THEN 'causal_claim'
         WHEN 9 THEN 'wrong_keys' WHEN 10 THEN 'no_authority_statement' WHEN 11 THEN 'empty' WHEN 12 THEN 'not_json' WHEN 13 THEN 'wrong_keys' WHEN 14 THEN 'blank_text_field' WHEN 16 THEN 'terminal_text' WHEN 17 THEN 'bad_list_field' WHEN 18 THEN 'not_json' END AS violation
-        FROM orders""",
-)
+        FROM orders"""
+
+
+@register("r07_response_grounding", R7_SQL)
 def r07(spark, sf):
     return gr.check_responses(responses(spark, sf))
 
 
+@register(
+    "r08_reported_responses",
+    f"SELECT case_id, violation, violation IS NULL AS usable, CASE WHEN violation IS NULL THEN 'response' ELSE 'fallback' END AS reported FROM ({R7_SQL})",
+)
+def r08_reported(spark, sf):
+    """Responses that hold stand; for the others the template of their evidence is reported."""
+    checked = gr.check_responses(responses(spark, sf))
+    rows = with_measurements(full_run(spark, sf, LESION))
+    return gr.report_responses(checked, gr.fallback_explanations(gr.compact_evidence(rows, LESION)))
+
+
 @register(
     "r08_template_fallback",
     query(
@@ -385,46 +396,53 @@ def m01(spark, sf):
     return au.artifact_availability(slots)
 
 
-@register(
-    "m04_explanation_validity",
-    "WITH c AS (SELECT count(*) FILTER (k % 19 <> 3) AS known, count(*) FILTER (k % 23 <> 4) AS records, count(*) FILTER (k % 19 <> 3 AND k % 23 <> 4) AS covered,"
+EV_COUNTS = (
+    "SELECT count(*) FILTER (k % 19 <> 3) AS known, count(*) FILTER (k % 23 <> 4) AS records, count(*) FILTER (k % 19 <> 3 AND k % 23 <> 4) AS covered,"
     " count(*) FILTER (k % 23 <> 4 AND k % 6 NOT IN (1, 2, 4) AND k % 7 NOT IN (2, 3)) AS clean, count(*) FILTER (k % 23 <> 4 AND k % 5 = 0) AS bare,"
     " 2 * count(*) FILTER (k % 23 <> 4 AND k % 5 <> 0) AS refs, count(*) FILTER (k % 23 <> 4 AND k % 5 <> 0 AND k % 13 <> 1)"
-    " + count(*) FILTER (k % 23 <> 4 AND k % 5 <> 0 AND k % 29 <> 2) AS valid FROM (SELECT o_orderkey AS k FROM orders)) "
-    + metric_sql(
-        "c",
-        [
-            ("case_coverage", "covered", "known", False, "known", "known - covered", "records - covered"),
-            ("case_id_validity", "covered", "records", True, None, "0", "records - covered"),
-            ("decision_non_interference", "clean", "records", True, None, "0", "0"),
-            ("evidence_reference_validity", "valid", "refs", True, None, "0", "bare"),
-        ],
-    ),
+    " + count(*) FILTER (k % 23 <> 4 AND k % 5 <> 0 AND k % 29 <> 2) AS valid FROM (SELECT o_orderkey AS k FROM orders)"
 )
+EV_ROWS = [
+    ("case_coverage", "covered", "known", False, "known", "known - covered", "records - covered"),
+    ("case_id_validity", "covered", "records", True, None, "0", "records - covered"),
+    ("decision_non_interference", "clean", "records", True, None, "0", "0"),
+    ("evidence_reference_validity", "valid", "refs", True, None, "0", "bare"),
+]
+
+
+@register("m04_explanation_validity", f"WITH c AS ({EV_COUNTS}) " + metric_sql("c", EV_ROWS))
 def m04(spark, sf):
-    records = payloads(spark, sf).filter("k % 23 <> 4").selectExpr(
+    return au.explanation_validity(explanations(spark, sf), keys(spark, sf).filter("k % 19 <> 3").select("case_id"), cl.CRITIQUE_TOKENS)
+
+
+def explanations(spark, sf):
+    return payloads(spark, sf).filter("k % 23 <> 4").selectExpr(
         "case_id",
         "payload",
         "CASE WHEN k % 5 <> 0 THEN array(named_struct('artifact_type', 'qc', 'case_pointer', concat('/data/cases/',"
         " CASE WHEN k % 13 = 1 THEN 'other' ELSE case_id END)), named_struct('artifact_type', CASE WHEN k % 29 = 2 THEN '' ELSE 'cmp' END,"
         " 'case_pointer', '/data/all_cases/7')) END AS evidence_references",
     )
-    return au.explanation_validity(records, keys(spark, sf).filter("k % 19 <> 3").select("case_id"), cl.CRITIQUE_TOKENS)
 
 
-@register(
-    "m07_task_pairs",
-    "WITH c AS (SELECT count(*) AS n, count(*) FILTER (k % 5 <> 0 OR k % 7 <> 0) AS judged, count(*) FILTER (CASE WHEN k % 5 <> 0 THEN k % 3 = 0"
-    " WHEN k % 7 <> 0 THEN k % 2 = 0 ELSE false END) AS good FROM (SELECT o_orderkey AS k FROM orders)) "
-    + metric_sql("c", [("pair_consistency", "good", "judged", False, "n", "n - judged", "0")]),
+TP_COUNTS = (
+    "SELECT count(*) AS n, count(*) FILTER (k % 5 <> 0 OR k % 7 <> 0) AS judged, count(*) FILTER (CASE WHEN k % 5 <> 0 THEN k % 3 = 0"
+    " WHEN k % 7 <> 0 THEN k % 2 = 0 ELSE false END) AS good FROM (SELECT o_orderkey AS k FROM orders)"
 )
+TP_ROWS = [("pair_consistency", "good", "judged", False, "n", "n - judged", "0")]
+
+
+@register("m07_task_pairs", f"WITH c AS ({TP_COUNTS}) " + metric_sql("c", TP_ROWS))
 def m07(spark, sf):
-    pairs = keys(spark, sf).selectExpr(
+    return au.task_pair_consistency(task_pairs(spark, sf))
+
+
+def task_pairs(spark, sf):
+    return keys(spark, sf).selectExpr(
         "CASE WHEN k % 5 <> 0 THEN k % 3 = 0 END AS consistent",
         "CASE WHEN k % 7 <> 0 THEN 'keep' END AS expected_decision",
         "CASE WHEN k % 2 = 0 THEN 'keep' ELSE 'review' END AS observed_decision",
     )
-    return au.task_pair_consistency(pairs)
 
 
 GOLD = [
@@ -459,10 +477,14 @@ def _section(name: str, sql: str) -> str:
     return f"SELECT '{name}' AS section, * FROM ({sql})"
 
 
+# All cases of the run are known here, whatever their key.
+EV_RUN = "evc AS (" + EV_COUNTS.replace("k % 19 <> 3", "true") + ")"
+
+
 @register(
     "m09_audit_report",
     query(
-        DECIDED + GOLD + [RB_CTE, ES_CTE, AI_CTE],
+        DECIDED + GOLD + [RB_CTE, ES_CTE, AI_CTE, EV_RUN, f"tpc AS ({TP_COUNTS})"],
         " UNION ALL ".join(
             _section(n, metric_sql(c, r))
             for n, c, r in (
@@ -471,12 +493,15 @@ def _section(name: str, sql: str) -> str:
                 ("routing_behavior", "rbc", RB_ROWS),
                 ("policy_safety", "rbc", PS_ROWS),
                 ("golden_validation", "gc", GOLD_ROWS),
+                ("explanation_validity", "evc", EV_ROWS),
+                ("task_pair_consistency", "tpc", TP_ROWS),
             )
         ),
     ),
 )
 def m09(spark, sf):
-    return au.audit_report(stored(full_run(spark, sf, LESION, labels=True)), comparison(spark, sf))
+    run = stored(full_run(spark, sf, LESION, labels=True), "run")
+    return au.audit_report(run, comparison(spark, sf), explanations(spark, sf), task_pairs(spark, sf), cl.CRITIQUE_TOKENS)
 
 
 @register(
