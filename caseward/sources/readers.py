@@ -216,10 +216,17 @@ def write_artifact(
 
 
 def run_manifest(artifacts: DataFrame) -> DataFrame:
-    """Artifact roles of each run with path and hash."""
-    entry = F.struct("artifact_type", "path", "sha256")
-    return artifacts.groupBy("run_id").agg(
-        F.count("*").alias("n_artifacts"), F.array_sort(F.collect_list(entry)).alias("artifacts")
+    """Artifact roles of each run with path and hash.
+
+    Of several artifacts of a role the last path stands.  Roles are aggregated first,
+    so the list of a run is as short as the list of roles.
+    """
+    roles = artifacts.groupBy("run_id", "artifact_type").agg(
+        F.count("*").alias("n"), F.max(F.struct("path", "sha256")).alias("last")
+    )
+    entry = F.struct("artifact_type", "last.path", "last.sha256")
+    return roles.groupBy("run_id").agg(
+        F.sum("n").alias("n_artifacts"), F.array_sort(F.collect_list(entry)).alias("artifacts")
     )
 
 

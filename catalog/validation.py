@@ -382,9 +382,17 @@ def s09(spark, sf):
     return rd.latest_runs(artifacts(spark, sf))
 
 
-@register("s09_run_manifest", f"WITH {_RUNS} SELECT run_id, count(*) AS n_artifacts FROM runs GROUP BY 1")
+@register(
+    "s09_run_manifest",
+    """SELECT run_id, CAST(sum(n) AS BIGINT) AS n_artifacts, string_agg(role || '=' || last || '=' || sha256(last[7:]), '|' ORDER BY role) AS artifacts
+       FROM (SELECT 'run_' || lpad((k // 10)::VARCHAR, 8, '0') AS run_id, 'type_' || (k % 5) AS role, count(*) AS n, max('/runs/' || k) AS last
+             FROM (SELECT o_orderkey AS k FROM orders) GROUP BY 1, 2) GROUP BY 1""",
+)
 def s09m(spark, sf):
-    return rd.run_manifest(artifacts(spark, sf)).select("run_id", "n_artifacts")
+    """Ten artifacts of five roles in a run."""
+    rows = artifacts(spark, sf).withColumn("run_id", F.expr("concat('run_', lpad(CAST(CAST(substring(path, 7) AS BIGINT) div 10 AS STRING), 8, '0'))"))
+    listed = "array_join(transform(artifacts, a -> concat(a.artifact_type, '=', a.path, '=', a.sha256)), '|') AS artifacts"
+    return rd.run_manifest(rows).selectExpr("run_id", "n_artifacts", listed)
 
 
 @register(
