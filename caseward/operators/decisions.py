@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from caseward.config import (
     ACTION_OF_RECOMMENDATION,
+    ACTIONS,
     DOMAINS,
     ROUTING_POLICY_VERSION,
     VISIBLE_PANCREAS_POLICY,
@@ -210,7 +211,15 @@ def check_policy(policy: dict) -> None:
         raise ValueError("only first-match policies are supported")
     if not ids or len(set(ids)) != len(ids):
         raise ValueError("rules need unique ids")
-    for rule_id, _name, _action, _reason, condition in policy["rules"]:
+    if policy.get("no_match_action") not in ACTIONS:
+        raise ValueError("the action without a match is not a known one")
+    if set(policy.get("hard_rules", ())) - set(ids):
+        raise ValueError("hard rules name unknown rules")
+    for rule_id, name, action, reason, condition in policy["rules"]:
+        if not name.strip() or not reason.strip():
+            raise ValueError(f"rule {rule_id} needs a name and a reason")
+        if action not in ACTIONS:
+            raise ValueError(f"rule {rule_id} has an unknown action: {action}")
         _check(condition, policy["roots"], rule_id)
 
 
@@ -344,13 +353,37 @@ def decision_counts(decisions: DataFrame) -> DataFrame:
     )
 
 
-def recomputation_differences(stored: DataFrame, recomputed: DataFrame) -> DataFrame:
-    """Rows that differ between stored and recomputed decisions, both ways (V9)."""
-    keys = [c for c in recomputed.columns if c in stored.columns]
-    side = lambda a, b, name: a.select(*keys).exceptAll(b.select(*keys)).select(
-        F.lit(name).alias("side"), "case_id", "final_decision"
+def rule_table(policy: dict, field: int) -> str:
+    """SQL map from rule id to its name (1) or action (2)."""
+    return "map(" + ", ".join(f"{lit(rule[0])}, {lit(rule[field])}" for rule in policy["rules"]) + ")"
+
+
+def decision_violations(stored: DataFrame, recomputed: DataFrame, policy: dict = VISIBLE_PANCREAS_POLICY) -> DataFrame:
+    """(case_id, violation) of stored decisions (V9).
+
+    ``stored``: case_id, final_decision, matched_rule, rule_name; ``recomputed``:
+    case_id, final_decision, matched_rule, decided again from the run's inputs.  Both
+    are grouped by case once; stored rows are held against the policy as well.
+    """
+    side = lambda df, name, *more: df.select(
+        "case_id", F.struct("final_decision", "matched_rule", *more).alias(name)
     )
-    return side(stored, recomputed, "stored_only").unionByName(side(recomputed, stored, "recomputed_only"))
+    both = side(stored, "old", "rule_name").unionByName(side(recomputed, "new"), allowMissingColumns=True)
+    both = both.groupBy("case_id").agg(F.count("old").alias("n"), F.max("old").alias("old"), F.max("new").alias("new"))
+    names, actions = rule_table(policy, 1), rule_table(policy, 2)
+    known = f"map_contains_key({names}, old.matched_rule)"
+    rules = {
+        "missing_decision": "n = 0",
+        "unexpected_decision": "new IS NULL",
+        "duplicate_decision": "n > 1",
+        "changed_action": "n > 0 AND new IS NOT NULL AND NOT (old.final_decision <=> new.final_decision)",
+        "changed_rule": "n > 0 AND new IS NOT NULL AND NOT (old.matched_rule <=> new.matched_rule)",
+        "unknown_rule": f"n > 0 AND NOT coalesce({known}, false)",
+        "wrong_rule_name": f"{known} AND NOT (old.rule_name <=> {names}[old.matched_rule])",
+        "wrong_rule_action": f"{known} AND NOT (old.final_decision <=> {actions}[old.matched_rule])",
+    }
+    codes = compact([f"CASE WHEN {cond} THEN '{code}' END" for code, cond in rules.items()])
+    return both.selectExpr("case_id", f"explode({codes}) AS violation")
 
 
 def unmatched(decisions: DataFrame) -> DataFrame:

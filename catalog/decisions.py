@@ -331,18 +331,25 @@ def a04(spark, sf):
     "v09_decision_recomputation",
     query(
         od.base(ORGAN) + od.policy_ctes(),
-        "SELECT 'recomputed_only' AS side, case_id, final_decision FROM pz WHERE k % 127 = 11 AND final_decision <> 'keep'"
-        " UNION ALL SELECT 'stored_only', case_id, 'keep' FROM pz WHERE k % 127 = 11 AND final_decision <> 'keep'",
+        """SELECT case_id, unnest(CASE WHEN k % 137 = 13 THEN ['missing_decision'] ELSE list_filter([CASE WHEN k % 139 = 14 THEN 'duplicate_decision' END,
+             CASE WHEN st <> final_decision THEN 'changed_action' END, CASE WHEN k % 131 = 12 THEN 'changed_rule' END,
+             CASE WHEN k % 131 = 12 THEN 'unknown_rule' END, CASE WHEN k % 131 <> 12 AND k % 149 = 15 THEN 'wrong_rule_name' END,
+             CASE WHEN k % 131 <> 12 AND st <> final_decision THEN 'wrong_rule_action' END], lambda x : x IS NOT NULL) END) AS violation
+           FROM (SELECT *, CASE WHEN k % 127 = 11 THEN 'keep' ELSE final_decision END AS st FROM pz)""",
     ),
 )
 def v09(spark, sf):
-    """Stored decisions tampered with on some keys against the recomputed ones."""
-    fresh = stored_decisions(spark, sf, ORGAN).select("case_id", "final_decision", "matched_rule")
-    tampered = fresh.withColumn(
-        "final_decision",
-        F.expr("CASE WHEN CAST(substring(case_id, 2) AS BIGINT) % 127 = 11 THEN 'keep' ELSE final_decision END"),
-    )
-    return dc.recomputation_differences(tampered, fresh)
+    """Stored decisions, tampered with on some keys, against those decided again from the inputs."""
+    k = "CAST(substring(case_id, 2) AS BIGINT)"
+    names = dc.rule_table(VISIBLE_PANCREAS_POLICY, 1)
+    tampered = stored_decisions(spark, sf, ORGAN).selectExpr(
+        "case_id",
+        f"CASE WHEN {k} % 127 = 11 THEN 'keep' ELSE final_decision END AS final_decision",
+        f"CASE WHEN {k} % 131 = 12 THEN 'VP-999' ELSE matched_rule END AS matched_rule",
+        f"CASE WHEN {k} % 149 = 15 THEN 'other' ELSE {names}[matched_rule] END AS rule_name",
+    ).filter(f"{k} % 137 <> 13")
+    tampered = tampered.unionByName(tampered.filter(f"{k} % 139 = 14"))
+    return dc.decision_violations(tampered, decisions(spark, sf, ORGAN))
 
 
 @register(
