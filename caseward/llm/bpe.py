@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from caseward.llm.slabs import Words, slabs
 
-_SLAB = 12 << 20
+_SLAB = 3 << 20
 
 
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -210,21 +210,32 @@ class Encoder:
         return ids[ragged(start[words.codes], lengths)], ends[words.starts]
 
 
-def encode(documents: DataFrame, path: str, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, n_tokens, ids (little-endian 32-bit) of each row, then the columns named in ``keep``."""
+def decoded(ids: bytes, tokens: np.ndarray) -> str:
+    """The tokens of little-endian 32-bit ids, a blank between two."""
+    return " ".join(tokens[np.frombuffer(ids, "<u4")].tolist())
+
+
+def encode(documents: DataFrame, path: str, keep: tuple[str, ...] = (), decode: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids (little-endian 32-bit) of each row, then the columns named in ``keep``.
+
+    With ``decode`` a column decoded follows ids: the text that these ids stand for.
+    It is made in the same task, so that a task needs one worker only.
+    """
     shared = documents.sparkSession.sparkContext.broadcast(Vocabulary(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(shared.value)
+        encoder, tokens = Encoder(shared.value), np.array(shared.value.tokens, object)
         for slab in slabs(batches, "_text", _SLAB):
             ids, starts = encoder.texts(slab.column("_text"))
             data = ids.astype("<u4").tobytes()
             blobs = [data[4 * a : 4 * b] for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)]
             named = {"doc_id": slab.column("_doc_id"), "n_tokens": pa.array(np.diff(starts)), "ids": pa.array(blobs, pa.binary())}
+            if decode:
+                named["decoded"] = pa.array([decoded(b, tokens) for b in blobs], pa.string())
             yield pa.RecordBatch.from_pydict(named | {f"_{c}": slab.column(f"_in_{c}") for c in keep})
 
     kinds = dict(documents.dtypes)
-    schema = f"doc_id {kinds['doc_id']}, n_tokens long, ids binary" + "".join(f", `_{c}` {kinds[c]}" for c in keep)
+    schema = f"doc_id {kinds['doc_id']}, n_tokens long, ids binary{', decoded string' * decode}" + "".join(f", `_{c}` {kinds[c]}" for c in keep)
     given = documents.select(
         F.col("doc_id").alias("_doc_id"), F.col("text").alias("_text"), *[F.col(c).alias(f"_in_{c}") for c in keep]
     )
@@ -232,15 +243,13 @@ def encode(documents: DataFrame, path: str, keep: tuple[str, ...] = ()) -> DataF
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
-    """The encoded rows with a column decoded: the tokens of ids, a blank between two."""
+    """Stored encoded rows with a column decoded."""
     shared = encoded.sparkSession.sparkContext.broadcast(Vocabulary(path).tokens)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = np.array(shared.value, object)
-        for batch in batches:
-            for slab in slabs([batch], "ids", _SLAB):
-                texts = [" ".join(tokens[np.frombuffer(b, "<u4")].tolist()) for b in slab.column("ids").to_pylist()]
-                yield slab.append_column("decoded", pa.array(texts, pa.string()))
+        for slab in slabs(batches, "ids", _SLAB):
+            yield slab.append_column("decoded", pa.array([decoded(b, tokens) for b in slab.column("ids").to_pylist()], pa.string()))
 
     schema = ", ".join(f"`{n}` {t}" for n, t in encoded.dtypes) + ", decoded string"
     return encoded.mapInArrow(run, schema)

@@ -75,7 +75,7 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op7_bpe_encode_decode")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = vocabulary("word_bpe_49k.json")
-    rows = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path), path)
+    rows = bpe.encode(table(spark, sf_dir, "documents"), path, decode=True)
     return rows.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

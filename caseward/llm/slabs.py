@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Text bytes handled at once inside a task; one longer text makes a slab of its own.
-SLAB_BYTES = 24 << 20
+SLAB_BYTES = 4 << 20
 #: XXH64-like constants of the 64-bit mixers; fixed values.
 _MIX_1, _MIX_2, _MIX_3 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
@@ -19,8 +19,22 @@ def sizes_of(column: pa.Array) -> np.ndarray:
     return pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
+def give_back() -> None:
+    """Return freed memory to the system: workers wait between tasks with what they hold."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        return
+
+
 def slabs(batches: Iterable[pa.RecordBatch], text: str, limit: int = SLAB_BYTES) -> Iterator[pa.RecordBatch]:
     """The same rows in the same order, regrouped to about ``limit`` bytes of text."""
+    give_back()
     kept: list[pa.RecordBatch] = []
     held = 0
     for batch in batches:
@@ -41,6 +55,8 @@ def slabs(batches: Iterable[pa.RecordBatch], text: str, limit: int = SLAB_BYTES)
                 kept, held = [], 0
     if kept:
         yield joined(kept)
+    kept = []
+    give_back()
 
 
 def joined(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
