@@ -185,6 +185,8 @@ def train(documents: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABEL
         some = some.limit(max_labelled // 2).select("doc_id", "quality")
         chosen = some if chosen is None else chosen.unionByName(some)
     rows = documents.select("doc_id", "text").filter("text IS NOT NULL").join(F.broadcast(chosen), "doc_id")
+    # One text for each id, so that repeated rows do not widen the sample.
+    rows = rows.groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
     packed = rows.select("quality", "text").mapInArrow(_rows_for_training, "quality int, slots binary, vals binary").toArrow()
     if not packed.num_rows:
         return None
