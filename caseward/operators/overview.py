@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from caseward.config import FLAG_DOMAINS
 from caseward.functions.sql import compact, lit
 
+# Tags of each issue group.
 ISSUE_GROUPS = {
     "empty_pancreas": ("pancreas_mask_empty",),
     "lesion_overlap": ("lesion_outside_pancreas", "lesion_partial_outside", "lesion_overlap_critical_fail"),
@@ -105,6 +106,7 @@ def training_summary(passed: DataFrame) -> DataFrame:
     )
 
 
+# Names and conditions of the filters.
 FILTERS = {
     "warning": "worst_flag = 2",
     "high_risk": "first_risk = 'high'",

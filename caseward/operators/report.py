@@ -61,6 +61,7 @@ def subcheck_levels(settings: Settings) -> dict[str, dict[str, str]]:
     def when(condition: str, level: int) -> str:
         return case([(condition, level)], str(NORMAL))
 
+    # The cut-offs of the sub-checks.
     return {
         "geometry_integrity": {
             "affine_alignment": when("pancreas_affine_mismatch OR lesion_affine_mismatch", HIGH),

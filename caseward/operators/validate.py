@@ -98,6 +98,7 @@ def case_status(images: DataFrame) -> DataFrame:
 
     ``images`` has (case_id, exists, read_error); the error text decides the type.
     """
+    # Error types and the texts that tell them.
     kind = case(
         [
             ("NOT exists", "'file_not_found'"),
