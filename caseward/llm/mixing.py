@@ -33,7 +33,7 @@ WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST = 2
 BLOCK = 32
-SHARD_WORDS = 1 << 24
+SHARD_WORDS = 1 << 20
 SEED = 7
 #: Sources are weighed on the driver; more than this are refused.
 MAX_SOURCES = 1_000_000
