@@ -43,7 +43,7 @@ PERCENTILE = 95
 END_ID = 2
 MAGIC = b"PFORIDS1"
 _HEAD = 6
-_SLAB = 4 << 20
+_SLAB = 12 << 20
 #: Chunks handed to the library as one text, and blocks decoded at once.
 _JOIN, _READ = 200, 8192
 
