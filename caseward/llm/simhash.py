@@ -30,7 +30,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from caseward.llm.slabs import joined, slabs
@@ -235,10 +235,15 @@ def components(documents: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     return marked.join(named, "fp").select("doc_id", digits, "component_id")
 
 
+def near_key() -> Column:
+    """Order in which rows of a component stay: the smallest doc_id, null last."""
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))
+
+
 def deduplicated(documents: DataFrame) -> DataFrame:
     """One row of each component stays, with all columns: the smallest doc_id, null last, then the smallest text hash."""
     marked, placed = grouped(documents.select("doc_id", "text"))
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))
+    key = near_key()
     best = marked.groupBy("fp").agg(F.min(F.struct(key.alias("_near_k"), F.col("t").alias("_near_t"))).alias("row"))
     best = best.join(placed, "fp").groupBy("root").agg(F.min("row").alias("row")).select("row.*").distinct()
     rows = documents.withColumns({"_near_k": key, "_near_t": F.xxhash64("text")})
