@@ -16,7 +16,8 @@ shuffled once by doc_id and read from there twice.
 
 Defined results: a null or empty text has no words and an empty kept text; a null
 doc_id counts as smaller than any other; rows with equal doc_id are one document
-as to where windows start, so they do not cut each other; texts are used whole;
+as to where windows start, so they do not cut each other, but each text of a doc_id
+has cuts of its own; texts are used whole;
 an empty table gives an empty result; other columns are ignored, whatever their
 names.
 """
@@ -32,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from caseward.llm.slabs import Words, mixed, slabs, term_hashes, window_hashes
+from caseward.sources.shared import stored
 
 WINDOW = 50
 PERIOD = 31
@@ -41,8 +43,9 @@ COVER = (1, 5, 11, 24, 25, 27)
 BUCKET_BYTES = 8 << 20
 _SLAB = 3 << 20
 _NULL_ID = -(1 << 63)
-_ENTRY = "bucket int, settled boolean, docs binary, pos binary, h1 binary, h2 binary"
-_TYPES = (np.int64, np.int32, np.uint64, np.uint64)
+#: ``texts`` tells texts of one doc_id apart; it is zero, which packs to nothing, where an id has one text.
+_ENTRY = "bucket int, settled boolean, docs binary, texts binary, pos binary, h1 binary, h2 binary"
+_TYPES = (np.int64, np.int64, np.int32, np.uint64, np.uint64)
 
 
 def is_cover(cover: tuple[int, ...], period: int) -> bool:
@@ -50,7 +53,7 @@ def is_cover(cover: tuple[int, ...], period: int) -> bool:
 
 
 def _packed(bucket: np.ndarray, settled: bool, *columns: np.ndarray | None) -> list[tuple]:
-    """One row for each bucket: the columns docs, pos, h1, h2 of its entries as bytes."""
+    """One row for each bucket: the columns docs, texts, pos, h1, h2 of its entries as bytes."""
     order = np.argsort(bucket, kind="stable")
     cuts = np.flatnonzero(np.diff(bucket[order])) + 1
     typed = [None if c is None else c.astype(t)[order] for c, t in zip(columns, _TYPES, strict=False)]
@@ -62,26 +65,26 @@ def _packed(bucket: np.ndarray, settled: bool, *columns: np.ndarray | None) -> l
     return out
 
 
-def _answers(docs: np.ndarray, pos: np.ndarray, buckets: int) -> list[tuple]:
+def _answers(docs: np.ndarray, texts: np.ndarray, pos: np.ndarray, buckets: int) -> list[tuple]:
     """Positions of documents, packed by a bucket of the document."""
     place = mixed(docs.astype(np.int64).view(np.uint64), np.zeros(1, np.uint64)) >> np.uint64(33)
-    return _packed(place.astype(np.int64) % buckets, True, docs, pos)
+    return _packed(place.astype(np.int64) % buckets, True, docs, texts, pos)
 
 
-def _entries(h1: np.ndarray, h2: np.ndarray | None, docs: np.ndarray, pos: np.ndarray, buckets: int) -> list[tuple]:
+def _entries(h1: np.ndarray, h2: np.ndarray | None, docs: np.ndarray, texts: np.ndarray, pos: np.ndarray, buckets: int) -> list[tuple]:
     """Unsettled entries, packed by a bucket of the hash."""
-    return _packed((h1 >> np.uint64(33)).astype(np.int64) % buckets, False, docs, pos, h1, h2)
+    return _packed((h1 >> np.uint64(33)).astype(np.int64) % buckets, False, docs, texts, pos, h1, h2)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int32(), pa.bool_(), *[pa.binary()] * 4]
-    columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
-    names = ["bucket", "settled", "docs", "pos", "h1", "h2"]
+    kinds = [pa.int32(), pa.bool_(), *[pa.binary()] * 5]
+    columns = list(zip(*rows, strict=True)) if rows else [[]] * 7
+    names = ["bucket", "settled", "docs", "texts", "pos", "h1", "h2"]
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
 
 def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bool, list]]:
-    """(settled, [docs, pos, h1, h2]) of each bucket; rows come ordered by bucket and settled."""
+    """(settled, [docs, texts, pos, h1, h2]) of each bucket; rows come ordered by bucket and settled."""
     held: list[tuple] = []
     now = None
     for batch in batches:
@@ -125,24 +128,24 @@ def _anchors(batches: Iterator[pa.RecordBatch], window: int, period: int, cover:
         words = Words(slab.column("text"))
         if not len(words.codes):
             continue
-        ids = slab.column("k").to_numpy()
+        ids, marks = slab.column("k").to_numpy(), slab.column("t").to_numpy()
         rows = words.rows
         place = np.arange(len(rows)) - words.starts[rows]
         hashes = window_hashes(term_hashes(words.terms, 1)[words.codes], width)
         n = len(hashes)
         # Texts shorter than a window hold none.
         at = np.flatnonzero(chosen[place[:n] % period] & (place[:n] + width <= words.counts[rows[:n]]) & (words.counts[rows[:n]] >= window))
-        h, docs, pos = hashes[at], ids[rows[at]], place[at]
+        h, docs, texts, pos = hashes[at], ids[rows[at]], marks[rows[at]], place[at]
         order, group, first = _groups(h, None, docs)
         if not len(order):
             continue
         last = np.append(first[1:], len(order)) - 1
         common = docs[order[first]] != docs[order[last]]
-        out = _answers(docs[order][common[group]], pos[order][common[group]], buckets)
+        out = _answers(docs[order][common[group]], texts[order][common[group]], pos[order][common[group]], buckets)
         lone = order[~common[group]]
         # A common hash goes out once, without a position: it needs no answer.
         told = order[first[common]]
-        out += _entries(np.append(h[lone], h[told]), None, np.append(docs[lone], docs[told]), np.append(pos[lone], np.full(len(told), -1)), buckets)
+        out += _entries(np.append(h[lone], h[told]), None, np.append(docs[lone], docs[told]), np.append(texts[lone], texts[told]), np.append(pos[lone], np.full(len(told), -1)), buckets)
         yield _batch(out)
 
 
@@ -150,7 +153,7 @@ def _windows(batches: Iterator[pa.RecordBatch], window: int, period: int, bucket
     """Hash the long windows around shared anchors; the smallest document of the task stays unsettled."""
     for slab in slabs(batches, "text", _SLAB):
         words, one, two = _hashed(slab, "text")
-        ids = slab.column("k").to_numpy()
+        ids, marks = slab.column("k").to_numpy(), slab.column("t").to_numpy()
         ends = words.counts - window + 1  # windows of each row
         delta = np.zeros(len(words.codes) + 1, np.int64)
         for row, blob in enumerate(slab.column("found").to_pylist()):
@@ -164,37 +167,37 @@ def _windows(batches: Iterator[pa.RecordBatch], window: int, period: int, bucket
             continue
         h1, h2 = window_hashes(one, window, 1)[at], window_hashes(two, window, 2)[at]
         rows = words.rows[at]
-        docs, pos = ids[rows], at - words.starts[rows]
+        docs, texts, pos = ids[rows], marks[rows], at - words.starts[rows]
         order, group, first = _groups(h1, h2, docs)
         least = docs[order] == docs[order[first]][group]
         later, open_ = order[~least], order[least]
-        yield _batch(_answers(docs[later], pos[later], buckets) + _entries(h1[open_], h2[open_], docs[open_], pos[open_], buckets))
+        yield _batch(_answers(docs[later], texts[later], pos[later], buckets) + _entries(h1[open_], h2[open_], docs[open_], texts[open_], pos[open_], buckets))
 
 
 def _settle(batches: Iterator[pa.RecordBatch], windows: bool, buckets: int) -> Iterator[pa.RecordBatch]:
     """Answer the entries of each hash bucket; what is settled passes through."""
-    for settled, (docs, pos, h1, h2) in _by_bucket(batches):
+    for settled, (docs, texts, pos, h1, h2) in _by_bucket(batches):
         if not settled:
             order, group, first = _groups(h1, h2, docs)
-            docs, pos = docs[order], pos[order]
+            docs, texts, pos = docs[order], texts[order], pos[order]
             if windows:
                 hit = docs != docs[first][group]
             else:
                 last = np.append(first[1:], len(order)) - 1
                 common = (docs[first] != docs[last]) | (np.minimum.reduceat(pos, first) < 0)
                 hit = common[group] & (pos >= 0)
-            docs, pos = docs[hit], pos[hit]
-        yield _batch(_answers(docs, pos, buckets))
+            docs, texts, pos = docs[hit], texts[hit], pos[hit]
+        yield _batch(_answers(docs, texts, pos, buckets))
 
 
 def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row for each document with its positions in ascending order."""
-    for _, (docs, pos, *_) in _by_bucket(batches):
-        order = np.lexsort((pos, docs))
-        docs, pos = docs[order], pos[order]
-        cuts = np.append(np.flatnonzero(np.diff(docs)) + 1, len(docs)).tolist()
+    """One row for each text of a document with its positions in ascending order."""
+    for _, (docs, texts, pos, *_) in _by_bucket(batches):
+        order = np.lexsort((pos, texts, docs))
+        docs, texts, pos = docs[order], texts[order], pos[order]
+        cuts = np.append(np.flatnonzero((docs[1:] != docs[:-1]) | (texts[1:] != texts[:-1])) + 1, len(docs)).tolist()
         found = [pos[a:b].tobytes() for a, b in zip([0, *cuts[:-1]], cuts, strict=True)]
-        yield pa.RecordBatch.from_pydict({"k": pa.array(docs[[c - 1 for c in cuts]]), "found": pa.array(found, pa.binary())})
+        yield pa.RecordBatch.from_pydict({"k": pa.array(docs[[c - 1 for c in cuts]]), "t": pa.array(texts[[c - 1 for c in cuts]]), "found": pa.array(found, pa.binary())})
 
 
 def _cut(batches: Iterator[pa.RecordBatch], window: int, columns: list[str]) -> Iterator[pa.RecordBatch]:
@@ -237,20 +240,23 @@ def dedupe(
     kinds = dict(documents.dtypes)
     # The key has no null, so both joins below read one and the same exchange.
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)).alias("k")
+    own = documents.select(key, F.xxhash64("text").alias("t")).groupBy("k").agg(F.min("t").alias("least"), F.max("t").alias("most"))
+    several = stored(own.filter("least <> most").select("k", F.lit(True).alias("several")), "several")
     base = documents.select(key, "doc_id", "text", *[F.col(c).alias(f"_in_{c}") for c in keep])
+    base = base.join(several, "k", "left").withColumn("t", F.when(F.col("several"), F.xxhash64("text")).otherwise(F.lit(0).cast("long"))).drop("several")
 
     def settled(rows: DataFrame, windows: bool) -> DataFrame:
         def dealt(x: DataFrame) -> DataFrame:
             return x.repartition(buckets, "bucket").sortWithinPartitions("bucket", "settled")
 
         answers = dealt(rows).mapInArrow(lambda b: _settle(b, windows, buckets), _ENTRY)
-        return dealt(answers).mapInArrow(_gather, "k long, found binary")
+        return dealt(answers).mapInArrow(_gather, "k long, t long, found binary")
 
-    anchors = documents.select(key, "text").mapInArrow(lambda b: _anchors(b, window, period, cover, buckets), _ENTRY)
-    near = base.join(settled(anchors, False), "k")
+    anchors = base.select("k", "t", "text").mapInArrow(lambda b: _anchors(b, window, period, cover, buckets), _ENTRY)
+    near = base.join(settled(anchors, False), ["k", "t"])
     cuts = settled(near.mapInArrow(lambda b: _windows(b, window, period, buckets), _ENTRY), True)
     schema = f"doc_id {kinds['doc_id']}, n_words long, n_removed long, kept_text string" + "".join(f", `_{c}` {kinds[c]}" for c in keep)
-    return base.join(cuts, "k", "left").drop("k").mapInArrow(lambda b: _cut(b, window, list(keep)), schema)
+    return base.join(cuts, ["k", "t"], "left").drop("k", "t").mapInArrow(lambda b: _cut(b, window, list(keep)), schema)
 
 
 SQL = rf"""
