@@ -18,9 +18,10 @@ each a tree of its own; queries stream past a tree, so memory holds one piece an
 one batch.  Tasks return their best ``k`` for each query.
 
 Defined results: vectors that are null, zero, hold null or non-finite components
-or have another length than most take no part, nor do rows without an id; rows
-with equal id are one vector (the smallest by its components); equal cosines are
-ordered by id; equal vectors are verified together, so that ties are exact; an
+or have another length than most take no part, nor do rows without an id; the
+different vectors of one id are a candidate each, and a query by that id takes the
+best cosine of its vectors (its own id is no candidate); equal cosines are ordered
+by id; equal vectors are verified together, so that ties are exact; an
 empty table gives an empty result; other columns are ignored, whatever their names.
 """
 
@@ -133,7 +134,8 @@ class Tree:
         place = np.arange(len(ids)) - begin[number[by_vector]]
         few = by_vector[place < most]
         self.ids, self.owner = ids[few], number[few]
-        self.rows = scaled(vectors[first])
+        self.vectors = vectors[first]
+        self.rows = scaled(self.vectors)
         self.lengths = _norms(self.rows)
         self.points = (self.rows / self.lengths[:, None]) @ base
         leaves = [np.arange(len(first))]
@@ -151,13 +153,13 @@ class Tree:
         self.boxes = np.array([[self.points[x].min(axis=0), self.points[x].max(axis=0)] for x in leaves])
         self.starts = np.searchsorted(self.owner, np.arange(len(first) + 1))
 
-    def search(self, query_id: int, vector: np.ndarray, base: np.ndarray, bound: float, k: int, factor: float) -> list[tuple[float, int]]:
-        """Up to k (-cosine, id), the best first; ``bound`` is a squared distance within which k others lie."""
+    def search(self, query_id: int, vector: np.ndarray, base: np.ndarray, bound: float, k: int, factor: float) -> list[tuple[float, int, int]]:
+        """Up to k (-cosine, id, number of the vector), the best first; ``bound`` is a squared distance within which k others lie."""
         row = scaled(vector[None])
         length = _norms(row)[0]
         point = (row[0] / length) @ base
         gaps = _outside(self.boxes, point)
-        best: list[tuple[float, int]] = []
+        best: list[tuple[float, int, int]] = []
         reach = bound
         order = np.argsort(gaps, kind="stable")
         for at in range(0, len(order), _STEP):
@@ -175,7 +177,7 @@ class Tree:
                 if len(best) >= k and -score[x] > best[k - 1][0]:
                     break
                 ids = self.ids[self.starts[some[x]] : self.starts[some[x] + 1]].tolist()
-                best = sorted(best + [(-float(score[x]), i) for i in ids if i != query_id])[:k]
+                best = sorted(best + [(-float(score[x]), i, int(some[x])) for i in ids if i != query_id])[:k]
             if len(best) >= k:
                 # A little room: a point as far as the k-th may have a smaller id.
                 reach = min(reach, max(2 + 2 * best[k - 1][0], 0.0) + 1e-9)
@@ -187,15 +189,14 @@ def _packed(vectors: DataFrame, length: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = batch.column("embedding").flatten().cast(pa.float64()).to_numpy(zero_copy_only=False).reshape(-1, length)
+            rows = batch.column("embedding").flatten().cast(pa.float64()).to_numpy(zero_copy_only=False).reshape(-1, length) + 0.0  # no negative zeros
             good = np.isfinite(rows).all(axis=1) & (rows != 0).any(axis=1)
             blobs = [r.tobytes() for r in rows[good]]
             yield pa.RecordBatch.from_pydict({"vec_id": batch.column("vec_id").filter(pa.array(good)), "vector": pa.array(blobs, pa.binary())})
 
     whole = (F.size("embedding") == length) & ~F.exists("embedding", lambda x: x.isNull()) & F.col("vec_id").isNotNull()
     given = vectors.filter(whole).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
-    one = given.groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
-    return one.mapInArrow(run, "vec_id long, vector binary")
+    return given.mapInArrow(run, "vec_id long, vector binary").distinct()
 
 
 def search(vectors: DataFrame, asked: str, k: int = 5, confidence: float = CONFIDENCE, piece: int = PIECE, sample: int = SAMPLE) -> DataFrame:
@@ -248,6 +249,8 @@ def search(vectors: DataFrame, asked: str, k: int = 5, confidence: float = CONFI
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come ordered by cell, piece and kind: the vectors of a tree, then its queries."""
+        from xxhash import xxh64_intdigest
+
         _, _, base, _ = shared.value
         held: list[pa.RecordBatch] = []
         tree, now = None, None
@@ -272,11 +275,11 @@ def search(vectors: DataFrame, asked: str, k: int = 5, confidence: float = CONFI
                 out = []
                 for q, blob, bound in zip(*(part.column(c).to_pylist() for c in ("vec_id", "vector", "bound")), strict=True):
                     found = tree.search(q, np.frombuffer(blob, np.float64), base, bound, k, factor)
-                    out += [(q, i, -s) for s, i in found]
+                    out += [(q, i, -s, xxh64_intdigest(tree.vectors[x].tobytes()) - (1 << 63)) for s, i, x in found]
                 if out:
                     columns = zip(*out, strict=True)
-                    kinds = (pa.int64(), pa.int64(), pa.float64())
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["query_id", "vec_id", "score"])
+                    kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64())
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["query_id", "vec_id", "score", "name"])
 
     marked = rows.withColumn("asked", F.coalesce(F.expr(asked), F.lit(False)))
     placed = marked.mapInArrow(place, "cell int, kind int, vec_id long, vector binary, bound double")
@@ -288,7 +291,8 @@ def search(vectors: DataFrame, asked: str, k: int = 5, confidence: float = CONFI
     to = F.when(F.col("kind") == 0, own).otherwise(F.expr("sequence(0, n - 1)"))
     dealt = placed.withColumn("piece", F.explode(to)).select("cell", "piece", "kind", "vec_id", "vector", "bound")
     dealt = dealt.repartition("cell", "piece").sortWithinPartitions("cell", "piece", "kind")
-    found = dealt.mapInArrow(answer, "query_id long, vec_id long, score double")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    found = dealt.mapInArrow(answer, "query_id long, vec_id long, score double, name long")
+    found = found.groupBy("query_id", "vec_id", "name").agg(F.max("score").alias("score"))
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id", "name")
     ranked = found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
