@@ -32,18 +32,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from caseward.llm.slabs import Words, slabs
+from caseward.llm.slabs import Words, ragged, slabs
 
 _SLAB = 3 << 20
 
 
-def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """The indexes starts[0], starts[0]+1, ... of every run, one run after the other."""
-    ends = np.cumsum(lengths)
-    total = int(ends[-1]) if len(ends) else 0
-    return np.repeat(starts - (ends - lengths), lengths) + np.arange(total)
-
-
 def byte_symbols() -> list[str]:
     """The printable character that stands for each byte in byte-level vocabularies."""
     shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -78,6 +71,13 @@ class Vocabulary:
         for token, number in chain(ids.items(), self.special.items()):
             self.tokens[number] = token
 
+    @classmethod
+    def of(cls, state: dict) -> Vocabulary:
+        """The vocabulary with these attributes: they travel to the tasks, the class does not."""
+        vocabulary = cls.__new__(cls)
+        vocabulary.__dict__.update(state)
+        return vocabulary
+
     def ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """The rank of each pair, -1 where it never merges."""
         key = a * self.size + b
@@ -221,10 +221,10 @@ def encode(documents: DataFrame, path: str, keep: tuple[str, ...] = (), decode:
     With ``decode`` a column decoded follows ids: the text that these ids stand for.
     It is made in the same task, so that a task needs one worker only.
     """
-    shared = documents.sparkSession.sparkContext.broadcast(Vocabulary(path))
+    shared = documents.sparkSession.sparkContext.broadcast(vars(Vocabulary(path)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, tokens = Encoder(shared.value), np.array(shared.value.tokens, object)
+        encoder, tokens = Encoder(Vocabulary.of(shared.value)), np.array(shared.value["tokens"], object)
         for slab in slabs(batches, "_text", _SLAB):
             ids, starts = encoder.texts(slab.column("_text"))
             data = ids.astype("<u4").tobytes()

@@ -103,6 +103,13 @@ class Splits:
                 boxes.append(inner)
         self.boxes = np.array(boxes[(1 << depth) - 1 :])
 
+    @classmethod
+    def of(cls, state: dict) -> Splits:
+        """The splits with these attributes: they travel to the tasks, the class does not."""
+        splits = cls.__new__(cls)
+        splits.__dict__.update(state)
+        return splits
+
     def cells(self, points: np.ndarray) -> np.ndarray:
         node = np.zeros(len(points), np.int64)
         for _ in range(self.depth):
@@ -216,11 +223,12 @@ def search(vectors: DataFrame, asked: str, k: int = 5, confidence: float = CONFI
     known = known / _norms(known)[:, None]
     depth = max(0, min(math.ceil(math.log2(max(1, total / piece))), int(math.log2(max(1, len(known) / 16)))))
     splits = Splits(known @ base, depth)
-    shared = spark.sparkContext.broadcast((ids, known, base, splits))
+    shared = spark.sparkContext.broadcast((ids, known, base, vars(splits)))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row for each vector in its cell, and for each query in every cell within its bound."""
-        ids, known, base, splits = shared.value
+        ids, known, base, state = shared.value
+        splits = Splits.of(state)
         for batch in batches:
             if not batch.num_rows:
                 continue

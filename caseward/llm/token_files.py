@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from caseward.llm.files import located, written
-from caseward.llm.slabs import slabs
+from caseward.llm.slabs import ragged, slabs
 from caseward.sources.shared import stored
 
 BLOCK = 128
@@ -123,8 +123,6 @@ class Encoder:
 
     def texts(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, and where those of each text begin."""
-        from caseward.llm.bpe import ragged
-
         column = column.fill_null("").cast(pa.large_string())
         offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
         data = np.frombuffer(column.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
