@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caseward.llm import bpe, language, lines, mixing, neighbours, quality, simhash, substrings, token_files, warc
+from caseward.llm import bpe, cells, dialogues, language, lines, mixing, neighbours, quality, runs, simhash, substrings, token_files, warc
 from caseward.sources.shared import new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -94,3 +94,18 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substrings.dedupe(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+@register("op11_dialogue_repair", dialogues.SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dialogues.hashed(dialogues.repair(dialogues.damaged(table(spark, sf_dir, "conversations"))))
+
+
+@register("op12_periodic_runs")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.digests(table(spark, sf_dir, "documents"))
+
+
+@register("op13_embedding_near_dedup", cells.SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cells.grouped(table(spark, sf_dir, "embeddings"))
