@@ -32,6 +32,14 @@ def give_back() -> None:
         return
 
 
+def worker_table(name: str) -> dict:
+    """A dictionary that lives as long as this Python worker, over its tasks."""
+    import sys
+    from types import ModuleType
+
+    return sys.modules.setdefault("_caseward_worker", ModuleType("_caseward_worker")).__dict__.setdefault(name, {})
+
+
 def slabs(batches: Iterable[pa.RecordBatch], text: str, limit: int = SLAB_BYTES) -> Iterator[pa.RecordBatch]:
     """The same rows in the same order, regrouped to about ``limit`` bytes of text."""
     give_back()

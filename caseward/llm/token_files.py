@@ -1,8 +1,9 @@
 """Operator 2: token ids in patched frame-of-reference files.
 
 Encoding uses the tokenizers library: a task tells the chunks of its texts apart
-(a blank and what follows it) and has the library encode each different chunk once.
-Chunks end only where the byte-level pattern always cuts.
+(a blank and what follows it) and has the library encode each different chunk once;
+a table of bounded size keeps chunks for the worker's next texts and tasks.  Chunks
+end only where the byte-level pattern always cuts.
 
 A file holds the ids of consecutive documents in blocks of 128.  A block stores
 its minimum, a bit width that fits 95 % of its ids (less the minimum), those low
@@ -25,7 +26,9 @@ other columns are ignored, whatever their names.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +38,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from caseward.llm.files import located, written
-from caseward.llm.slabs import ragged, slabs
+from caseward.llm.slabs import ragged, slabs, worker_table
 from caseward.sources.shared import stored
 
 BLOCK = 128
@@ -43,7 +46,9 @@ PERCENTILE = 95
 END_ID = 2
 MAGIC = b"PFORIDS1"
 _HEAD = 6
-_SLAB = 12 << 20
+_SLAB = 4 << 20
+#: Chunks of a generation of a worker's table, and bytes of ids of the longest chunk in it.
+TABLE, LONGEST = 1 << 18, 256
 #: Chunks handed to the library as one text, and blocks decoded at once.
 _JOIN, _READ = 200, 8192
 
@@ -83,43 +88,64 @@ class Encoder:
         self.opens = np.zeros(max(vocabulary.values()) + 1, bool)
         for token, number in vocabulary.items():
             self.opens[number] = token.startswith("Ġ")
+        self.table = worker_table("chunks-" + hashlib.sha256(definition.encode()).hexdigest())
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
 
     def _batch(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def terms(self, terms: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of different chunks, one after the other, and their numbers of ids."""
+    def encoded(self, texts: list[str]) -> list[bytes]:
+        """The ids (32 bits each) of different chunks."""
+        terms = pa.array(texts, pa.string())
         plain = pc.and_(pc.starts_with(terms, " "), pc.equal(pc.count_substring_regex(terms, r"\s|[^\x00-\x7F\pL]"), 1))
         for content in self.special:
             plain = pc.and_(plain, pc.invert(pc.match_substring(terms, content)))
         plain = plain.to_numpy(zero_copy_only=False)
-        lists: list[list[int]] = []
-        counts = np.zeros(len(terms), np.int64)
-        order = []
-        at = np.flatnonzero(plain)
-        texts = terms.take(pa.array(at)).to_pylist()
-        joined = self._batch(["".join(texts[i : i + _JOIN]) for i in range(0, len(texts), _JOIN)])
-        single = [*np.flatnonzero(~plain)]
+        out: list[bytes] = [b""] * len(texts)
+        at, single = np.flatnonzero(plain).tolist(), np.flatnonzero(~plain).tolist()
+        joined = self._batch(["".join(texts[n] for n in at[i : i + _JOIN]) for i in range(0, len(at), _JOIN)])
         for k, ids in enumerate(joined):
             part = at[k * _JOIN : (k + 1) * _JOIN]
-            array = np.array(ids, np.int64)
+            array = np.array(ids, np.uint32)
             begin = np.flatnonzero(self.opens[array])
             if len(begin) != len(part) or begin[0]:
-                single.extend(part)
+                single += part
                 continue
-            counts[part] = np.diff(np.append(begin, len(array)))
-            lists.append(array)
-            order.append(part)
-        for number, ids in zip(single, self._batch(terms.take(pa.array(single, pa.int64())).to_pylist()) if single else [], strict=True):
-            counts[number] = len(ids)
-            lists.append(np.array(ids, np.int64))
-            order.append(np.array([number]))
-        flat = np.concatenate(lists) if lists else np.zeros(0, np.int64)
-        order = np.concatenate(order) if order else np.zeros(0, np.int64)
-        start = np.zeros(len(terms), np.int64)
-        start[order] = np.cumsum(counts[order]) - counts[order]
-        return flat, start, counts
+            data, cuts = array.tobytes(), [*(begin * 4).tolist(), 4 * len(array)]
+            for n, a, b in zip(part, cuts[:-1], cuts[1:], strict=True):
+                out[n] = data[a:b]
+        found = self._batch([texts[n] for n in single]) if single else []
+        data = np.fromiter(chain.from_iterable(found), np.uint32).tobytes()
+        a = 0
+        for n, ids in zip(single, found, strict=True):
+            out[n] = data[a : a + 4 * len(ids)]
+            a += 4 * len(ids)
+        return out
+
+    def terms(self, terms: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of different chunks, one after the other, where those of each begin, and their numbers.
+
+        Chunks met by this worker lately are taken from its table: two generations of
+        at most TABLE chunks, the older of which goes when the younger is full.
+        """
+        texts = terms.to_pylist()
+        young, old = self.table.setdefault("young", {}), self.table.setdefault("old", {})
+        blobs = [young.get(t) for t in texts]
+        absent = []
+        for n in [n for n, b in enumerate(blobs) if b is None]:
+            b = old.get(texts[n])
+            if b is None:
+                absent.append(n)
+            else:
+                blobs[n] = young[texts[n]] = b
+        for n, b in zip(absent, self.encoded([texts[n] for n in absent]), strict=True):
+            blobs[n] = b
+            if len(b) <= LONGEST:
+                young[texts[n]] = b
+        if len(young) >= TABLE:
+            self.table["young"], self.table["old"] = {}, young
+        counts = np.fromiter(map(len, blobs), np.int64, len(blobs)) // 4
+        return np.frombuffer(b"".join(blobs), np.uint32), np.cumsum(counts) - counts, counts
 
     def texts(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, and where those of each text begin."""
@@ -128,7 +154,7 @@ class Encoder:
         data = np.frombuffer(column.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
         starts = offsets - offsets[0]
         if not len(data):
-            return np.zeros(0, np.int64), np.zeros(len(column) + 1, np.int64)
+            return np.zeros(0, np.uint32), np.zeros(len(column) + 1, np.int64)
         cuts = chunk_starts(data, starts)
         bounds = np.append(cuts, len(data)).astype(np.int64)
         chunks = pa.LargeStringArray.from_buffers(len(cuts), pa.py_buffer(bounds), pa.py_buffer(data))
