@@ -1,23 +1,29 @@
 """Connected components and enclosed holes of sparse voxel masks.
 
 Volumes are never gathered per case: a case may hold any share of all voxels.
-Masks are cut into cubic tiles.  A tile is labelled on its own (at most
-``tile**3`` cells in one task), components that touch across tile faces are then
-merged by star contraction of the tile-level components, in logarithmically many rounds.
+Masks are cut into cubic tiles.  A task takes many whole tiles at once (an Arrow
+batch, ordered by tile): cells of a line are runs along x, runs of neighbouring
+lines touch where their intervals overlap, and the runs are labelled together.
+Components that touch across tile faces are then merged by star contraction of the
+tile-level components, in logarithmically many rounds.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from caseward.functions.batches import changes, whole_groups
 from caseward.operators.connected import connected_components
 from caseward.sources.shared import stored
 
 TILE = 32
 AXES = ("z", "y", "x")
+TILES = ["case_id", "tz", "ty", "tx"]
 # Cell keys keep raster order: 20 bits per axis.
 _BITS = 20
 
@@ -27,38 +33,64 @@ def cell_key(z: str = "z", y: str = "y", x: str = "x") -> str:
     return f"((CAST({z} AS BIGINT) * {shift} + {y}) * {shift} + {x})"
 
 
-def _label_tile(cells: pd.DataFrame) -> pd.DataFrame:
-    """Smallest cell key of each 6-connected component inside one tile."""
-    low = cells[list(AXES)].min()
-    pos = (cells[list(AXES)] - low).to_numpy()
-    shape = pos.max(axis=0) + 2
-    index = np.full(shape, -1, dtype=np.int64)
-    order = np.lexsort((pos[:, 2], pos[:, 1], pos[:, 0]))
-    pos = pos[order]
-    index[pos[:, 0], pos[:, 1], pos[:, 2]] = np.arange(len(pos))
+def runs_of(cells: np.ndarray, tile: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of cells along x begin, and the run of each cell; cells (z, y, x) come in raster order within their tiles."""
+    new = np.ones(len(cells), bool)
+    new[1:] = (tile[1:] != tile[:-1]) | (cells[1:, :2] != cells[:-1, :2]).any(axis=1) | (cells[1:, 2] != cells[:-1, 2] + 1)
+    return np.flatnonzero(new), np.cumsum(new) - 1
+
+
+def touching_runs(cells: np.ndarray, tile: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of runs of one tile that touch across a y- or z-face: neighbouring lines whose x-intervals overlap."""
+    first, last = cells[starts], cells[np.append(starts[1:], len(cells)) - 1]
+    low = cells.min(axis=0) - 1
+    span = cells.max(axis=0) - low + 2
+    line = (tile[starts] * span[0] + first[:, 0] - low[0]) * span[1] + first[:, 1] - low[1]
+    begin, end = (line * span[2] + x[:, 2] - low[2] for x in (first, last))
     pairs = []
-    for axis in range(3):
-        step = pos.copy()
-        step[:, axis] += 1
-        other = index[step[:, 0], step[:, 1], step[:, 2]]
-        hit = other >= 0
-        pairs.append(np.stack([np.flatnonzero(hit), other[hit]]))
-    left, right = np.concatenate(pairs, axis=1)
-    label = np.arange(len(pos))
+    for step in (1, span[1]):
+        # Runs are ordered by line and x, so those that overlap with a shifted run stand side by side.
+        lo = np.searchsorted(end, begin + step * span[2])
+        hi = np.searchsorted(begin, end + step * span[2], side="right")
+        count = np.maximum(hi - lo, 0)
+        done = np.cumsum(count)
+        pairs.append((np.repeat(np.arange(len(starts)), count), np.repeat(lo - (done - count), count) + np.arange(count.sum())))
+    return np.concatenate([a for a, _ in pairs]), np.concatenate([b for _, b in pairs])
+
+
+def least_labels(size: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The least element that each of ``size`` elements is connected to."""
+    label = np.arange(size)
     while True:
         a, b = label[left], label[right]
         if (a == b).all():
-            break
+            return label
         np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
         while True:
             jumped = label[label]
             if (jumped == label).all():
                 break
             label = jumped
-    out = cells.iloc[order].reset_index(drop=True)
-    root = out.iloc[label].reset_index(drop=True)
-    key = (root["z"].astype("int64") * (1 << _BITS) + root["y"]) * (1 << _BITS) + root["x"]
-    return out.assign(root=key)[["case_id", "z", "y", "x", "root"]]
+
+
+def _positions(rows: pa.RecordBatch) -> np.ndarray:
+    return np.stack([rows.column(a).to_numpy() for a in AXES], axis=1).astype(np.int64)
+
+
+def label_tiles(rows: pa.RecordBatch) -> pa.Array:
+    """Smallest cell key of each cell's 6-connected component inside its tile, for whole tiles in raster order."""
+    tile = np.cumsum(changes(rows, TILES)) - 1
+    cells = _positions(rows)
+    starts, run = runs_of(cells, tile)
+    label = least_labels(len(starts), *touching_runs(cells, tile, starts))
+    first = cells[starts[label]]
+    key = ((first[:, 0] << _BITS) + first[:, 1] << _BITS) + first[:, 2]
+    return pa.array(key[run])
+
+
+def in_tiles(cells: DataFrame) -> DataFrame:
+    """Rows with their tile (tz, ty, tx), each tile in one task and in raster order."""
+    return cells.repartition(*TILES).sortWithinPartitions(*TILES, *AXES)
 
 
 def label_components(cells: DataFrame, tile: int = TILE) -> DataFrame:
@@ -66,17 +98,14 @@ def label_components(cells: DataFrame, tile: int = TILE) -> DataFrame:
 
     Adds ``root``: the key of the component's first cell in raster order.
     """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in whole_groups(batches, TILES):
+            yield pa.RecordBatch.from_pydict({c: rows.column(c) for c in ("case_id", *AXES)} | {"root": label_tiles(rows)})
+
     cells = cells.selectExpr("case_id", *[f"CAST({a} AS INT) AS {a}" for a in AXES])
-    tiles = [F.floor(F.col(a) / tile).alias(f"t{a}") for a in AXES]
-    local = (
-        cells.select("*", *tiles)
-        .groupBy("case_id", *[f"t{a}" for a in AXES])
-        .applyInPandas(
-            lambda pdf: _label_tile(pdf[["case_id", "z", "y", "x"]]),
-            "case_id string, z int, y int, x int, root bigint",
-        )
-    )
-    local = stored(local, "tiles")
+    tiled = cells.select("*", *[F.floor(F.col(a) / tile).cast("int").alias(f"t{a}") for a in AXES])
+    local = stored(in_tiles(tiled).mapInArrow(run, "case_id string, z int, y int, x int, root bigint"), "tiles")
     merged = connected_components(_faces(local, tile), ("case_id",))
     joined = local.join(merged.withColumnRenamed("root", "label").withColumnRenamed("node", "root"), ["case_id", "root"], "left")
     return joined.select("case_id", *AXES, F.coalesce("label", "root").alias("root"))
@@ -153,31 +182,31 @@ def _place(tiles: dict[str, str], own: bool) -> str:
     return "named_struct(" + ", ".join(f"'{k}', {v}" for k, v in tiles.items()) + f", 'own', {str(own).lower()})"
 
 
-def surrounded(pos: np.ndarray) -> np.ndarray:
-    """Which of the cells (z, y, x) have all six neighbours among them."""
-    if not len(pos):
+def surrounded(cells: np.ndarray, tile: np.ndarray) -> np.ndarray:
+    """Which of the cells (z, y, x), in raster order within their tiles, have all six neighbours in their tile's cells."""
+    if not len(cells):
         return np.zeros(0, bool)
-    at = pos - (pos.min(axis=0) - 1)
-    grid = np.zeros(at.max(axis=0) + 2, bool)
-    grid[tuple(at.T)] = True
-    out = np.ones(len(at), bool)
-    for axis in range(3):
-        for step in (-1, 1):
-            near = at.copy()
-            near[:, axis] += step
-            out &= grid[tuple(near.T)]
+    at = cells - (cells.min(axis=0) - 1)
+    span = at.max(axis=0) + 2
+    key = ((tile * span[0] + at[:, 0]) * span[1] + at[:, 1]) * span[2] + at[:, 2]
+    out = np.ones(len(key), bool)
+    for step in (1, span[2], span[1] * span[2]):
+        for near in (key - step, key + step):
+            out &= key[np.minimum(np.searchsorted(key, near), len(key) - 1)] == near
     return out
 
 
 def erode(cells: DataFrame, tile: int = TILE) -> DataFrame:
     """Cells whose six neighbours are all in the mask; outside counts as background."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        inner = surrounded(pdf[list(AXES)].to_numpy())
-        return pdf.loc[inner & pdf["own"].to_numpy(), ["case_id", *AXES]]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in whole_groups(batches, TILES):
+            inner = surrounded(_positions(rows), np.cumsum(changes(rows, TILES)) - 1)
+            own = rows.column("own").to_numpy(zero_copy_only=False)
+            yield rows.select(["case_id", *AXES]).filter(pa.array(inner & own))
 
     rows = with_halo(cells.selectExpr("case_id", *[f"CAST({a} AS INT) AS {a}" for a in AXES]), tile=tile)
-    return rows.groupBy("case_id", *[f"t{a}" for a in AXES]).applyInPandas(run, "case_id string, z int, y int, x int")
+    return in_tiles(rows).mapInArrow(run, "case_id string, z int, y int, x int")
 
 
 def enclosed_cells(mask: DataFrame, tile: int = TILE) -> DataFrame:

@@ -8,8 +8,10 @@ cells come from one conditional aggregate per case, combined map-side.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,8 +24,9 @@ from caseward.config import (
     REGION_PAIRS,
     REGIONS,
 )
+from caseward.functions.batches import changes, whole_groups
 from caseward.functions.sql import case, lit, project
-from caseward.operators.components import AXES, TILE, enclosed_cells, label_components, number_components, surrounded, with_halo
+from caseward.operators.components import AXES, TILE, TILES, enclosed_cells, in_tiles, label_components, number_components, surrounded, with_halo
 
 MASKS = ("pancreas", "lesion", "head", "body", "tail")
 REGION_UNION = "(head > 0 OR body > 0 OR tail > 0)"
@@ -303,12 +306,16 @@ def hu_histogram(voxels: DataFrame, tile: int = TILE) -> DataFrame:
     """
     counts = ["n_tumor", "n_organ", "n_core"]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        organ = pdf["n_organ"].to_numpy() > 0
-        core = np.zeros(len(pdf), np.int64)
-        core[organ] = surrounded(pdf.loc[organ, list(AXES)].to_numpy())
-        own = pdf.assign(n_core=core)[pdf["own"].to_numpy()]
-        return own.groupby(["case_id", "hu"], as_index=False)[counts].sum()[["case_id", "hu", *counts]]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in whole_groups(batches, TILES):
+            tile = np.cumsum(changes(rows, TILES)) - 1
+            organ = rows.column("n_organ").to_numpy() > 0
+            core = np.zeros(rows.num_rows, np.int64)
+            core[organ] = surrounded(np.stack([rows.column(a).to_numpy()[organ] for a in AXES], axis=1).astype(np.int64), tile[organ])
+            table = pa.Table.from_batches([rows.select(["case_id", "hu", "n_tumor", "n_organ"]).append_column("n_core", pa.array(core)).filter(rows.column("own"))])
+            sums = table.group_by(["case_id", "hu"]).aggregate([(c, "sum") for c in counts])
+            for batch in sums.select(["case_id", "hu", *[f"{c}_sum" for c in counts]]).rename_columns(["case_id", "hu", *counts]).to_batches():
+                yield batch
 
     cells = voxels.selectExpr(
         "case_id",
@@ -317,8 +324,8 @@ def hu_histogram(voxels: DataFrame, tile: int = TILE) -> DataFrame:
         "CAST(lesion > 0 AS BIGINT) AS n_tumor",
         "CAST(pancreas > 0 AND NOT lesion > 0 AS BIGINT) AS n_organ",
     ).na.fill(0, ["n_tumor", "n_organ"])
-    dealt = with_halo(cells.filter("hu IS NOT NULL OR n_organ > 0"), "n_organ > 0", tile).groupBy("case_id", *[f"t{a}" for a in AXES])
-    parts = dealt.applyInPandas(run, f"case_id string, hu {dict(voxels.dtypes)['hu']}, n_tumor bigint, n_organ bigint, n_core bigint")
+    dealt = in_tiles(with_halo(cells.filter("hu IS NOT NULL OR n_organ > 0"), "n_organ > 0", tile))
+    parts = dealt.mapInArrow(run, f"case_id string, hu {dict(voxels.dtypes)['hu']}, n_tumor bigint, n_organ bigint, n_core bigint")
     return parts.groupBy("case_id", "hu").agg(*[F.sum(c).alias(c) for c in counts])
 
 
@@ -346,9 +353,9 @@ def _described(prefix: str, name: str) -> dict[str, str]:
     }
 
 
-def hu_statistics(voxels: DataFrame) -> DataFrame:
+def hu_statistics(voxels: DataFrame, tile: int = TILE) -> DataFrame:
     """Robust HU statistics, attenuation class and suspicion per case."""
-    histogram = hu_histogram(voxels)
+    histogram = hu_histogram(voxels, tile)
     totals = histogram.groupBy("case_id").agg(
         F.sum("n_core").alias("core"), F.sum("n_organ").alias("organ"), F.sum("n_tumor").alias("tumor")
     )

@@ -252,7 +252,7 @@ def g15(spark, sf):
 
 
 def hu(spark, sf):
-    return vx.hu_statistics(dv.voxels(spark, sf))
+    return vx.hu_statistics(dv.voxels(spark, sf), TILE)
 
 
 def _hu_select(prefix: str, name: str) -> str:

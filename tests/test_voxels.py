@@ -90,8 +90,8 @@ def test_a_winding_tube_needs_few_rounds(spark, monkeypatch):
     assert len(rounds) - 1 <= 10
 
 
-def test_tasks_need_no_copy_of_the_package(spark, tmp_path):
-    """A job started elsewhere ships the functions that its tasks run."""
+def test_tasks_need_no_copy_of_the_package(tmp_path):
+    """Jobs started in another folder ship the functions that their tasks run."""
     import os
     import subprocess
     import sys
@@ -101,12 +101,52 @@ def test_tasks_need_no_copy_of_the_package(spark, tmp_path):
 import sys
 sys.path.append({root!r})
 from pyspark.sql import SparkSession
-spark = SparkSession.builder.master("local-cluster[1,1,1024]").config("spark.ui.enabled", "false").config("spark.checkpoint.dir", {str(tmp_path / "shared")!r}).getOrCreate()
-from caseward.operators import components
-cells = spark.createDataFrame([("t", 0, 0, x) for x in range(9)], "case_id string, z int, y int, x int")
-print("roots", components.label_components(cells, 2).select("root").distinct().count())
-spark.stop()
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").config("spark.checkpoint.dir", {str(tmp_path / "shared")!r}).getOrCreate()
+from __spark_entry__ import queries
+registered = queries()
+for name in ("g08_connected_components", "g15_erosion", "g16_pancreas_hu"):
+    registered[name](spark, "/root/testdata/sf0.001").count()
+print("all done")
 """
-    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"} | {"SPARK_LOCAL_IP": "127.0.0.1", "SPARK_SCALA_VERSION": "2.13"}
-    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
-    assert "roots 1" in done.stdout, done.stderr[-2000:]
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=600)
+    assert "all done" in done.stdout, done.stderr[-2000:]
+
+
+def test_components_of_random_masks_equal_flood_fill(spark):
+    """Runs of many tiles and cases in one batch, tiles of several sizes."""
+    import random
+
+    rng = random.Random(8)
+    masks = {f"c{n}": {(rng.randrange(9), rng.randrange(9), rng.randrange(9)) for _ in range(rng.choice([1, 60, 250]))} for n in range(12)}
+    want = set()
+    for case, cells in masks.items():
+        left = set(cells)
+        while left:
+            todo, part = [left.pop()], []
+            while todo:
+                z, y, x = todo.pop()
+                part.append((z, y, x))
+                for near in ((z + 1, y, x), (z - 1, y, x), (z, y + 1, x), (z, y - 1, x), (z, y, x + 1), (z, y, x - 1)):
+                    if near in left:
+                        left.remove(near)
+                        todo.append(near)
+            z, y, x = min(part)
+            want |= {(case, *cell, (z << 20 | y) << 20 | x) for cell in part}
+    table = spark.createDataFrame([(k, *c) for k, cells in masks.items() for c in cells], "case_id string, z int, y int, x int")
+    for tile in (2, 4, 32):
+        assert {tuple(r) for r in cc.label_components(table, tile).collect()} == want
+
+
+def test_one_large_volume(spark):
+    """A 512-cube case: a hollow box and a rod inside it, over thousands of tiles."""
+    side = "explode(sequence(0, 511))"
+    faces = spark.range(512).selectExpr("int(id) AS a").selectExpr("a", f"{side} AS b")
+    walls = [faces.selectExpr(*[f"{v} AS {n}" for n, v in zip("zyx", order, strict=True)]) for k in (0, 511) for order in ((k, "a", "b"), ("a", k, "b"), ("a", "b", k))]
+    box = walls[0]
+    for wall in walls[1:]:
+        box = box.unionByName(wall)
+    rod = spark.range(10, 500).selectExpr("250 AS z", "int(id) AS y", "250 AS x")
+    found = cc.label_components(box.unionByName(rod).distinct().selectExpr("'big' AS case_id", "z", "y", "x"))
+    sizes = sorted(r["count"] for r in found.groupBy("root").count().collect())
+    assert sizes == [490, 512**3 - 510**3]
