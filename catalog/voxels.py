@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from caseward.config import Settings
 from caseward.functions.sql import project
 from caseward.operators import components as cc
 from caseward.operators import voxels as vx
+from caseward.operators.assembly import assemble
 from caseward.operators.task import restrict_to_task
+from caseward.plans.run import run
 from caseward.sources import derived_voxels as dv
 from caseward.sources.derived import case_summary
+from caseward.sources.shared import stored
 from oracle_sql import voxels as vo
 from oracle_sql.qc import cases_ctes, query, task_cte
 
@@ -354,17 +358,62 @@ def known_cases(spark, sf):
 @register(
     "g22_case_assembly",
     vo.recursive(
-        V + vo.component_ctes() + vo.hu_ctes(),
-        """SELECT g.case_id, readable AS image_readable, coalesce(m.n_lesions, 0) AS n_lesions, p.pancreas_mm3, h3.p_median AS pancreas_median_hu
-           FROM geo g LEFT JOIN (SELECT case_id, max(lesion_id) AS n_lesions FROM num GROUP BY 1) m ON m.case_id = g.case_id
-           LEFT JOIN (SELECT case_id, round_even(sum(pancreas) * any_value(vv3), 4) AS pancreas_mm3 FROM vox JOIN img ON ic = case_id GROUP BY 1) p
-             ON p.case_id = g.case_id
+        V + vo.component_ctes() + vo.hole_ctes() + vo.hu_ctes(),
+        f"""SELECT g.case_id, NOT readable AS omitted, coalesce(m.n_lesions, 0) AS n_lesions, coalesce(p.pancreas_mm3, 0) AS pancreas_mm3, h3.p_median AS pancreas_median_hu,
+           coalesce(p.lesion_mm3, 0) AS lesion_mm3, m.listing AS lesions, coalesce(p.head_mm3, 0) AS head_mm3, coalesce(p.tail_overlap_mm3, 0) AS tail_overlap_mm3, p.box,
+           round_even(abs(p.head_mm3 + p.body_mm3 + p.tail_mm3 - p.pancreas_mm3) / nullif(p.pancreas_mm3, 0), 6) AS region_error, o.overlap_reference,
+           o.combined_filled_rate, coalesce(o.hole_filling_changed_overlap, false) AS hole_filling_changed_overlap, g.nz AS slices
+           FROM geo g
+           LEFT JOIN (SELECT case_id, count(*) AS n_lesions, string_agg(lesion_id || ':' || printf('%.2f', volume_mm3) || ':' || coalesce(dominant_region, '-'), ' ' ORDER BY lesion_id) AS listing
+             FROM ({_PER}) GROUP BY 1) m ON m.case_id = g.case_id
+           LEFT JOIN (SELECT case_id, round_even(sum(pancreas) * any_value(vv3), 4) AS pancreas_mm3, round_even(sum(lesion) * any_value(vv3), 4) AS lesion_mm3,
+               round_even(sum(head) * any_value(vv3), 4) AS head_mm3, round_even(sum(body) * any_value(vv3), 4) AS body_mm3, round_even(sum(tail) * any_value(vv3), 4) AS tail_mm3,
+               round_even(count(*) FILTER (tail > 0 AND pancreas > 0) * any_value(vv3), 4) AS tail_overlap_mm3,
+               concat_ws(',', min(z) FILTER (pancreas > 0), min(y) FILTER (pancreas > 0), min(x) FILTER (pancreas > 0),
+                 max(z) FILTER (pancreas > 0), max(y) FILTER (pancreas > 0), max(x) FILTER (pancreas > 0)) AS box
+             FROM vox JOIN img ON ic = case_id GROUP BY 1) p ON p.case_id = g.case_id
+           LEFT JOIN ({_OVERLAP}) o ON o.case_id = g.case_id
            LEFT JOIN h3 ON h3.case_id = g.case_id WHERE resource = 'image'""",
     ),
 )
 def g22(spark, sf):
-    table = vx.summarize(known_cases(spark, sf), dv.voxels(spark, sf), dv.geometry(spark, sf))
-    return table.select("case_id", "image_readable", "n_lesions", "pancreas_mm3", "pancreas_median_hu")
+    table = measured_cases(spark, sf)
+    return table.selectExpr(
+        "case_id",
+        "case_status.omit_from_training AS omitted",
+        "lesions.n_lesions",
+        "pancreas.volume_mm3 AS pancreas_mm3",
+        "hu_statistics.pancreas_median_hu",
+        "lesions.total_volume_mm3 AS lesion_mm3",
+        "array_join(transform(lesions.per_lesion, l -> concat(l.lesion_id, ':', format_string('%.2f', l.volume_mm3), ':', coalesce(l.dominant_region, '-'))), ' ') AS lesions",
+        "pancreas.regions.head.volume_mm3 AS head_mm3",
+        "pancreas.regions.tail.overlap_with_pancreas_mm3 AS tail_overlap_mm3",
+        "array_join(flatten(pancreas.bounding_box_zyx), ',') AS box",
+        "pancreas.region_consistency.relative_error_vs_pancreas AS region_error",
+        "quality_control.lesion_overlap_analysis.overlap_reference_used_for_qc AS overlap_reference",
+        "quality_control.lesion_overlap_analysis.combined_filled_pancreas.overlap_rate_vs_lesion AS combined_filled_rate",
+        "quality_control.lesion_overlap_analysis.hole_filling_changed_overlap",
+        "image.shape_zyx[0] AS slices",
+    )
+
+
+def measured_cases(spark, sf):
+    """Nested summaries measured from the voxels."""
+    return assemble(known_cases(spark, sf), dv.voxels(spark, sf), dv.geometry(spark, sf), TILE)
+
+
+@register("c25_measured_decisions")
+def measured_decisions(spark, sf):
+    """Final decision of every case, from its voxels: measure, calibrate, judge twice, route, decide."""
+    cases = stored(measured_cases(spark, sf), "measured")
+    checks = cases.selectExpr(
+        "case_id",
+        "CASE WHEN case_status.omit_from_training THEN 'invalid' ELSE 'valid' END AS status",
+        "case_status.omit_from_training AS omit_from_training",
+        "concat('/data/images/', case_id, '_0000.nii.gz') AS image_path",
+        "concat('/data/labels/', case_id, '/segmentations') AS segmentation_dir",
+    )
+    return run(cases, checks, Settings("pancreas_lesion")).selectExpr("case_id", "final.final_decision", "final.decision_basis")
 
 
 @register(
