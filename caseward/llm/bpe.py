@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from caseward.llm.slabs import Words, ragged, slabs
 
-_SLAB = 3 << 20
+_SLAB = 3 << 19
 
 
 def byte_symbols() -> list[str]:
