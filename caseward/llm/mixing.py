@@ -108,9 +108,12 @@ def mix(
     sizes = [r["n"] for r in sums]
     goal = targets(sizes, weights, share, most)
     blocks = apportion(np.array(goal), round(sum(goal) / block), np.array([most * -(-n // block) for n in sizes], np.int64))
-    plan = [(r["source"], n, t, int(b), max(1, -(-n // shard_words))) for r, n, t, b in zip(sums, sizes, goal, blocks, strict=True)]
+    plan = [
+        (i, r["source"], n, t, int(b), max(1, -(-n // shard_words)))
+        for i, (r, n, t, b) in enumerate(zip(sums, sizes, goal, blocks, strict=True))
+    ]
     spark = documents.sparkSession
-    sources = spark.createDataFrame(plan, "_source string, source_size long, target double, blocks long, shards long")
+    sources = spark.createDataFrame(plan, "place long, _source string, source_size long, target double, blocks long, shards long")
 
     def placed(rows: DataFrame) -> DataFrame:
         return rows.join(sources, F.col("source").eqNullSafe(F.col("_source"))).withColumn("shard", F.expr("pmod(_h, shards)"))
@@ -119,27 +122,26 @@ def mix(
         shards = shards.sort_values("shard", ignore_index=True)
         n_blocks = -(-shards["n"] // block)
         quota = apportion(shards["n"].to_numpy(), int(shards["blocks"].iloc[0]), (most * n_blocks).to_numpy())
-        return pd.DataFrame({"_to": shards["_source"], "_shard": shards["shard"], "n": shards["n"], "n_blocks": n_blocks, "quota": quota})
-
-    counted = placed(narrow.filter("_size > 0")).groupBy("_source", "shard", "blocks").agg(F.sum("_size").alias("n"))
-    shards = counted.groupBy("_source").applyInPandas(quotas, "_to string, _shard long, n long, n_blocks long, quota long")
-    start = F.pmod(F.xxhash64(F.lit(seed), "_to", "_shard"), "n_blocks")
-    shards = shards.select("_to", "_shard", F.expr("quota div n_blocks").alias("passes"), (start * block).alias("at"), F.least(F.col("n"), (start + F.expr("quota % n_blocks")) * block).alias("to"), F.greatest(F.lit(0), (start + F.expr("quota % n_blocks") - F.col("n_blocks")) * block).alias("over"))
-
-    rows = placed(_sized(given, seed))
-    before = Window.partitionBy("source", "shard").orderBy("_h", "_g").rowsBetween(Window.unboundedPreceding, -1)
-    taking = rows.filter("_size > 0").withColumn("a", F.coalesce(F.sum("_size").over(before), F.lit(0)))
-    taking = taking.join(shards, F.col("_source").eqNullSafe(F.col("_to")) & (F.col("shard") == F.col("_shard")))
-    cut = lambda x: F.least(F.greatest(x - F.col("a"), F.lit(0)), F.col("_size"))
-    spans = F.array(F.struct(cut(F.col("at")).alias("from"), cut(F.col("to")).alias("to")), F.struct(F.lit(0).cast("long").alias("from"), cut(F.col("over")).alias("to")))
-    taking = taking.withColumn("ranges", spans)
+        return pd.DataFrame({"place": shards["place"], "shard": shards["shard"], "n": shards["n"], "n_blocks": n_blocks, "quota": quota, "_to": shards["_source"]})
+
+    counted = placed(narrow.filter("_size > 0")).groupBy("place", "_source", "shard", "blocks").agg(F.sum("_size").alias("n"))
+    shards = counted.groupBy("place").applyInPandas(quotas, "place long, shard long, n long, n_blocks long, quota long, _to string")
+    start = F.pmod(F.xxhash64(F.lit(seed), "_to", "shard"), "n_blocks")
+    shards = shards.select("place", "shard", F.expr("quota div n_blocks").alias("passes"), (start * block).alias("at"), F.least(F.col("n"), (start + F.expr("quota % n_blocks")) * block).alias("to"), F.greatest(F.lit(0), (start + F.expr("quota % n_blocks") - F.col("n_blocks")) * block).alias("over"))
+
+    # The window and the join have the same keys, none of them null: one shuffle of the texts serves both.
+    rows = placed(_sized(given, seed)).drop("text", "source", "_source", "blocks", "shards")
+    before = Window.partitionBy("place", "shard").orderBy("_h", "_g").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("a", F.coalesce(F.sum("_size").over(before), F.lit(0))).join(shards, ["place", "shard"], "left")
+    # A shard without a word has no quota, and documents without one lie between others with an empty span.
+    cut = lambda x: F.coalesce(F.least(F.greatest(x - F.col("a"), F.lit(0)), F.col("_size")), F.lit(0).cast("long"))
+    ends = [F.when(F.col("passes").isNull(), 0).otherwise(cut(F.col(c))).cast("long") for c in ("at", "to", "over")]
+    spans = F.array(F.struct(ends[0].alias("from"), ends[1].alias("to")), F.struct(F.lit(0).cast("long").alias("from"), ends[2].alias("to")))
     extra = F.expr("ranges[0].to - ranges[0].from + ranges[1].to - ranges[1].from")
-    wanted = ["doc_id", F.col("_size").alias("size"), "source_size", "target"]
-    kept = [F.col(f"_in_{c}").alias(f"_{c}") for c in keep]
-    taking = taking.select(*wanted, (F.col("passes") * F.col("_size") + extra).alias("taken"), "passes", "ranges", *kept)
-    none = F.expr("CAST(array() AS array<struct<from: bigint, to: bigint>>)")
-    empty = rows.filter("_size = 0").select(*wanted, F.lit(0).cast("long").alias("taken"), F.lit(0).cast("long").alias("passes"), none.alias("ranges"), *kept)
-    return taking.unionByName(empty)
+    passes = F.when(F.col("_size") > 0, F.coalesce("passes", F.lit(0))).otherwise(0).cast("long")
+    rows = rows.withColumn("ranges", spans).withColumn("passes", passes)
+    wanted = ["doc_id", F.col("_size").alias("size"), "source_size", "target", (F.col("passes") * F.col("_size") + extra).alias("taken")]
+    return rows.select(*wanted, "passes", "ranges", *[F.col(f"_in_{c}").alias(f"_{c}") for c in keep])
 
 
 def mixed(documents: DataFrame) -> DataFrame:

@@ -255,10 +255,12 @@ def fit(y: np.ndarray, slots: list, vals: list, log_odds: float, rounds: int = 2
 def judge(documents: DataFrame, model: Model | None, threshold: float = THRESHOLD, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, the base counts, base_failed, probability, kept; then the columns named in ``keep``."""
     weights = None if model is None else model.weights
+    # A text that is kept goes to the workers once.
+    read = "_in_text" if "text" in keep else "_text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for slab in slabs(batches, "_text", _SLAB):
-            text = slab.column("_text")
+        for slab in slabs(batches, read, _SLAB):
+            text = slab.column(read)
             stats = statistics(text)
             n, repeated = stats["n_words"], stats["n_repeat_words"]
             failed = (n < MIN_WORDS) | (100 * repeated > MAX_REPEAT_PERCENT * n)
@@ -278,9 +280,8 @@ def judge(documents: DataFrame, model: Model | None, threshold: float = THRESHOL
     kinds = dict(documents.dtypes)
     schema = f"doc_id {kinds['doc_id']}, {STATS}, base_failed boolean, probability double, kept boolean"
     schema += "".join(f", `_{c}` {kinds[c]}" for c in keep)
-    given = documents.select(
-        F.col("doc_id").alias("_doc_id"), F.col("text").alias("_text"), *[F.col(c).alias(f"_in_{c}") for c in keep]
-    )
+    texts = [] if "text" in keep else [F.col("text").alias("_text")]
+    given = documents.select(F.col("doc_id").alias("_doc_id"), *texts, *[F.col(c).alias(f"_in_{c}") for c in keep])
     return given.mapInArrow(run, schema)
 
 
