@@ -47,8 +47,8 @@ END_ID = 2
 MAGIC = b"PFORIDS1"
 _HEAD = 6
 _SLAB = 4 << 20
-#: Chunks of a generation of a worker's table, and bytes of ids of the longest chunk in it.
-TABLE, LONGEST = 1 << 18, 256
+#: Chunks of a worker's table, and ids of the longest chunk in it.
+TABLE, LONGEST = 1 << 19, 64
 #: Chunks handed to the library as one text, and blocks decoded at once.
 _JOIN, _READ = 200, 8192
 
@@ -91,61 +91,72 @@ class Encoder:
         self.table = worker_table("chunks-" + hashlib.sha256(definition.encode()).hexdigest())
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
 
-    def _batch(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _batch(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts, one after the other, and the number of each."""
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
+        counts = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter(chain.from_iterable(found), np.uint32, int(counts.sum())), counts
 
-    def encoded(self, texts: list[str]) -> list[bytes]:
-        """The ids (32 bits each) of different chunks."""
-        terms = pa.array(texts, pa.string())
+    def encoded(self, terms: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of different chunks in some order, where those of each begin, and their numbers.
+
+        Plain words are handed over many at once; where their ids do not fall apart
+        into one part for each, they are encoded one by one.
+        """
         plain = pc.and_(pc.starts_with(terms, " "), pc.equal(pc.count_substring_regex(terms, r"\s|[^\x00-\x7F\pL]"), 1))
         for content in self.special:
             plain = pc.and_(plain, pc.invert(pc.match_substring(terms, content)))
         plain = plain.to_numpy(zero_copy_only=False)
-        out: list[bytes] = [b""] * len(texts)
-        at, single = np.flatnonzero(plain).tolist(), np.flatnonzero(~plain).tolist()
-        joined = self._batch(["".join(texts[n] for n in at[i : i + _JOIN]) for i in range(0, len(at), _JOIN)])
-        for k, ids in enumerate(joined):
-            part = at[k * _JOIN : (k + 1) * _JOIN]
-            array = np.array(ids, np.uint32)
-            begin = np.flatnonzero(self.opens[array])
-            if len(begin) != len(part) or begin[0]:
-                single += part
-                continue
-            data, cuts = array.tobytes(), [*(begin * 4).tolist(), 4 * len(array)]
-            for n, a, b in zip(part, cuts[:-1], cuts[1:], strict=True):
-                out[n] = data[a:b]
-        found = self._batch([texts[n] for n in single]) if single else []
-        data = np.fromiter(chain.from_iterable(found), np.uint32).tobytes()
-        a = 0
-        for n, ids in zip(single, found, strict=True):
-            out[n] = data[a : a + 4 * len(ids)]
-            a += 4 * len(ids)
-        return out
+        start, counts = np.zeros(len(terms), np.int64), np.zeros(len(terms), np.int64)
+        at = np.flatnonzero(plain)
+        bounds = np.append(np.arange(0, len(at), _JOIN), len(at))
+        lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), terms.take(pa.array(at)))
+        flat, sizes = self._batch(pc.binary_join(lists, "").to_pylist())
+        begin = np.flatnonzero(self.opens[flat])
+        ends = np.cumsum(sizes)
+        cuts = np.searchsorted(begin, np.concatenate([[0], ends]))
+        first = np.append(begin, -1)[cuts[:-1]]
+        good = (np.diff(cuts) == np.diff(bounds)) & (first == ends - sizes)
+        words, parts = np.repeat(good, np.diff(bounds)), np.repeat(good, np.diff(cuts))
+        start[at[words]] = begin[parts]
+        counts[at[words]] = np.diff(np.append(begin, len(flat)))[parts]
+        single = np.concatenate([at[~words], np.flatnonzero(~plain)])
+        more, sizes = self._batch(terms.take(pa.array(single)).to_pylist())
+        start[single], counts[single] = len(flat) + np.cumsum(sizes) - sizes, sizes
+        return np.concatenate([flat, more]), start, counts
 
     def terms(self, terms: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Ids of different chunks, one after the other, where those of each begin, and their numbers.
+        """Ids of different chunks in some order, where those of each begin, and their numbers.
 
-        Chunks met by this worker lately are taken from its table: two generations of
-        at most TABLE chunks, the older of which goes when the younger is full.
+        Chunks that this worker met lately are taken from its table.  A table beyond
+        TABLE chunks is cut to half, and those met last stay.
         """
-        texts = terms.to_pylist()
-        young, old = self.table.setdefault("young", {}), self.table.setdefault("old", {})
-        blobs = [young.get(t) for t in texts]
-        absent = []
-        for n in [n for n, b in enumerate(blobs) if b is None]:
-            b = old.get(texts[n])
-            if b is None:
-                absent.append(n)
-            else:
-                blobs[n] = young[texts[n]] = b
-        for n, b in zip(absent, self.encoded([texts[n] for n in absent]), strict=True):
-            blobs[n] = b
-            if len(b) <= LONGEST:
-                young[texts[n]] = b
-        if len(young) >= TABLE:
-            self.table["young"], self.table["old"] = {}, young
-        counts = np.fromiter(map(len, blobs), np.int64, len(blobs)) // 4
-        return np.frombuffer(b"".join(blobs), np.uint32), np.cumsum(counts) - counts, counts
+        t = self.table
+        if not t:
+            none = np.zeros(0, np.int64)
+            t.update(terms=terms[:0], flat=none.astype(np.uint32), start=none, counts=none, last=none, turn=0)
+        at = pc.fill_null(pc.index_in(terms, value_set=t["terms"]), -1).to_numpy().astype(np.int64)
+        absent = np.flatnonzero(at < 0)
+        fresh = terms.take(pa.array(absent))
+        flat, start, counts = self.encoded(fresh)
+        at[absent] = len(t["terms"]) + np.arange(len(absent))
+        start = np.concatenate([t["start"], start + len(t["flat"])])
+        flat, counts = np.concatenate([t["flat"], flat]), np.concatenate([t["counts"], counts])
+        last = np.concatenate([t["last"], np.zeros(len(absent), np.int64)])
+        last[at] = t["turn"] + 1
+        met = pa.concat_arrays([t["terms"], fresh])
+        keep = counts <= LONGEST
+        if keep.sum() > TABLE:
+            order = np.argsort(np.where(keep, -last, 1), kind="stable")
+            keep[order[TABLE // 2 :]] = False
+        if keep.all():
+            t.update(terms=met, flat=flat, start=start, counts=counts, last=last)
+        else:
+            k = np.flatnonzero(keep)
+            ends = np.cumsum(counts[k])
+            t.update(terms=met.take(pa.array(k)), flat=flat[ragged(start[k], counts[k])], start=ends - counts[k], counts=counts[k], last=last[k])
+        t["turn"] += 1
+        return flat, start[at], counts[at]
 
     def texts(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, and where those of each text begin."""

@@ -80,3 +80,22 @@ def test_chunks_equal_the_library():
     ids, starts = encoder.texts(pa.array(texts))
     for n, text in enumerate(texts):
         assert ids[starts[n] : starts[n + 1]].tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_chunk_table_that_overflows(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(token_files, "TABLE", 50)
+    monkeypatch.setattr(token_files, "LONGEST", 3)
+    with open(BYTE, encoding="utf-8") as file:
+        encoder = token_files.Encoder(file.read())
+    encoder.table = {}
+    tokenizer = Tokenizer.from_file(BYTE)
+    rng = np.random.default_rng(5)
+    for _ in range(20):
+        words = [("ab" * int(n % 7) + str(n))[: 1 + n % 40] for n in rng.geometric(0.01, 90)]
+        texts = ["", " ".join(words[:40]), " ".join(words[40:]), "x" * 300]
+        ids, starts = encoder.texts(pa.array(texts))
+        for n, text in enumerate(texts):
+            assert ids[starts[n] : starts[n + 1]].tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+        assert len(encoder.table["terms"]) <= 50 and max(encoder.table["counts"], default=0) <= 3
