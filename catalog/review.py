@@ -910,6 +910,35 @@ def a16(spark, sf):
     return an.change_mechanisms(wide(spark, sf))
 
 
+def profile_table(spark, sf):
+    """Every profile's own run over the derived cases, side by side."""
+    from caseward.plans.profiles import profile_runs
+    from caseward.sources.derived import case_summary
+
+    cases = stored(case_summary(spark, sf), "cases")
+    return stored(an.side_by_side(profile_runs(cases, dr.validation_rows(spark, sf))), "profiles")
+
+
+@register("a14_profile_prevalence")
+def a14p(spark, sf):
+    return an.domain_prevalence(profile_table(spark, sf))
+
+
+@register("a15_profile_stability")
+def a15p(spark, sf):
+    return an.stability(profile_table(spark, sf))
+
+
+@register("a15_profile_transitions")
+def a15pt(spark, sf):
+    return an.transition_matrix(profile_table(spark, sf))
+
+
+@register("a16_profile_mechanisms")
+def a16p(spark, sf):
+    return an.change_mechanisms(profile_table(spark, sf))
+
+
 PUBLISHED = {"aligned": 1.0, "changed": -1.0, "published_only": 3.0}
 
 
