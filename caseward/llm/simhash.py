@@ -115,19 +115,20 @@ class Forest:
         order = np.argsort(self.keys)
         self.keys, self.children = self.keys[order], self.children[order]
 
-    def within(self, queries: np.ndarray, cells: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(query number, node) pairs at most ``radius`` bits apart, step by step."""
+    def within(self, queries: np.ndarray, cells: np.ndarray, radius: int | np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(query number, node) pairs at most ``radius`` bits apart (one, or one for each query), step by step."""
+        reach = np.broadcast_to(np.asarray(radius, np.int64), len(queries))
         at = np.searchsorted(self.root_cells, cells)
         at = np.minimum(at, max(len(self.root_cells) - 1, 0))
         q = np.flatnonzero(self.root_cells[at] == cells) if len(self.root_cells) else np.zeros(0, np.int64)
         node = self.root_nodes[at[q]] if len(q) else q
         while len(q):
             d = np.bitwise_count(queries[q] ^ self.values[node]).astype(np.int64)
-            near = d <= radius
+            near = d <= reach[q]
             if near.any():
                 yield q[near], node[near]
-            low = np.searchsorted(self.keys, node * 65 + np.maximum(d - radius, 0))
-            high = np.searchsorted(self.keys, node * 65 + np.minimum(d + radius, 64), side="right")
+            low = np.searchsorted(self.keys, node * 65 + np.maximum(d - reach[q], 0))
+            high = np.searchsorted(self.keys, node * 65 + np.minimum(d + reach[q], 64), side="right")
             n = high - low
             begin = np.repeat(low - np.concatenate([[0], np.cumsum(n)[:-1]]), n)
             q, node = np.repeat(q, n), self.children[begin + np.arange(n.sum())]

@@ -1,17 +1,21 @@
 """The pipeline's near-duplicates: every pair of texts whose five-word shingle sets have a Jaccard similarity of 0.8 or more.
 
-``op5_simhash_near_dedup`` has its own contract (three words, 3 of 64 bits).  A pair
-at 0.8 differs in about ten bits, give or take three; a radius that loses none is
-near twenty, where BK-trees visit almost every node and blocks no longer deal the
-fingerprints.  So this search does not go through fingerprints and loses nothing.
-
-Search: shingles have one order for all texts.  Of ``n`` shingles, the first
+Method: SimHash fingerprints of the five-word shingles, found within a radius by
+BK-trees, as in operator 5; then both whole sets decide.  ``op5_simhash_near_dedup``
+has its own contract (three words, 3 of 64 bits).  Here a pair at 0.8 differs in about
+ten bits, give or take three.  The radius is half the bits: of larger sets a bit
+differs with a probability of about 0.15 at most, so fewer than one pair in a billion
+lies beyond it; sets of at most ``SMALL`` shingles, whose bits vary more, are
+searched at all 64.
+
+Shards: at such a radius blocks of the fingerprint no longer deal the nodes, so
+shingles do.  They have one order for all texts.  Of ``n`` shingles, the first
 ``n - ceil(0.8 n) + 1`` are a text's prefix; two texts that reach 0.8 share a
-shingle of their prefixes (if not, one of them has too few left).  Texts meet at the
-shingles of their prefixes, are compared by size and position there, then by profiles
-(how many shingles have each last byte: a bound on what two sets can share), and a
-pair that can still reach 0.8 is held against both whole sets.  A component is what such pairs
-link.
+shingle of their prefixes (if not, one of them has too few left).  A shingle of
+prefixes is a shard with a BK-tree of its own.  What a tree finds is compared by size
+and position, then by profiles (how many shingles have each last byte: a bound on what
+two sets can share), and a pair that can still reach 0.8 is held against both whole
+sets.  A component is what such pairs link.
 
 Scale: equal sets are one node.  Shingles common in a sample come last in the order,
 so passages in many texts are hardly in a prefix; the sample places the order, which
@@ -36,7 +40,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from caseward.llm.simhash import near_key
+from caseward.llm.simhash import Forest, near_key
 from caseward.llm.slabs import Words, joined, mixed, slabs, term_hashes, window_hashes
 from caseward.operators.connected import connected_components
 from caseward.sources.shared import Stored, stored
@@ -47,6 +51,8 @@ SEED = 42
 SAMPLE, COMMON = 4096, 1 << 17
 #: Bands of minimum hashes that link large groups, and hashes of a band.
 MINIMA, BAND = 2, 4
+#: Bits by which the fingerprints of a pair differ at most; sets of up to SMALL shingles may differ in all.
+RADIUS, SMALL = 32, 16
 #: Most bits of the bitmap by which rows are sorted out before a join.
 BITS = 1 << 27
 #: Counts of a profile.
@@ -56,8 +62,8 @@ CELL_BYTES = 8 << 20
 #: Nodes that meet at a shingle in one task.
 PIECE = 8192
 _SLAB = 4 << 20
-#: Candidate pairs sent at once.
-_PAIRS = 1 << 19
+#: Candidate pairs sent at once, and (query, node) steps followed at once.
+_PAIRS, _FRONTIER = 1 << 19, 1 << 18
 
 
 def shingle_sets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -86,6 +92,20 @@ def _lists(row: np.ndarray, value: np.ndarray, size: int) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(size + 1)), pa.int32()), pa.array(value.view(np.int64)))
 
 
+def fingerprints(value: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The 64-bit SimHash of each set; ``starts``: where those of each text begin, with the end."""
+    n = np.diff(starts)
+    full = np.flatnonzero(n)
+    out = np.zeros((len(n), 8), np.uint8)
+    if len(full):
+        data = value.view(np.uint8).reshape(-1, 8)
+        for byte in range(8):
+            bits = np.unpackbits(data[:, byte], bitorder="little").reshape(-1, 8)
+            counts = np.add.reduceat(bits, starts[full], axis=0, dtype=np.int32)
+            out[full, byte] = np.packbits(2 * counts > n[full, None], axis=1, bitorder="little")[:, 0]
+    return out.view(np.uint64).ravel()
+
+
 def profiles(row: np.ndarray, value: np.ndarray, size: int) -> pa.Array:
     """How many shingles of each text have each last byte; null where a count is beyond a byte."""
     counts = np.bincount(row * PROFILE + (value % np.uint64(PROFILE)).astype(np.int64), minlength=size * PROFILE).reshape(size, PROFILE)
@@ -138,7 +158,7 @@ def prefix_length(n: np.ndarray) -> np.ndarray:
 
 
 def prefixes(documents: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """doc_id, t (hash of the text), fp (hash of the shingle set), n shingles, the prefix (longs as bytes), its common shingles, minimum hashes, profile."""
+    """doc_id, t (hash of the text), fp (hash of the shingle set), simhash, n shingles, the prefix (longs as bytes), its common shingles, minimum hashes, profile."""
     shared = documents.sparkSession.sparkContext.broadcast(common_shingles(documents, sample))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,6 +192,7 @@ def prefixes(documents: DataFrame, sample: int = SAMPLE) -> DataFrame:
                     "doc_id": slab.column("doc_id"),
                     "t": slab.column("t"),
                     "fp": pa.array(fp.view(np.int64)),
+                    "simhash": pa.array(fingerprints(value, starts).view(np.int64)),
                     "n": pa.array(n, pa.int32()),
                     "prefix": pa.array(prefix, pa.binary()),
                     "common": _lists(row[frequent], value[frequent], size),
@@ -182,7 +203,7 @@ def prefixes(documents: DataFrame, sample: int = SAMPLE) -> DataFrame:
 
     given = documents.select("doc_id", F.xxhash64("text").alias("t"), "text")
     kind = dict(documents.dtypes)["doc_id"]
-    return given.mapInArrow(run, f"doc_id {kind}, t long, fp long, n int, prefix binary, common array<long>, minima array<long>, profile binary")
+    return given.mapInArrow(run, f"doc_id {kind}, t long, fp long, simhash long, n int, prefix binary, common array<long>, minima array<long>, profile binary")
 
 
 def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,33 +213,35 @@ def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sizes = np.array([len(b) // 8 for b in blobs], np.int64)
         owner = np.repeat(np.arange(len(blobs)), sizes)
         place = np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        fp, root, n = (batch.column(c).to_numpy()[owner] for c in ("fp", "root", "n"))
+        given = {c: pa.array(batch.column(c).to_numpy()[owner]) for c in ("fp", "root", "simhash", "n")}
         token = np.frombuffer(b"".join(blobs), np.int64)
-        yield pa.RecordBatch.from_pydict({"token": pa.array(token), "fp": pa.array(fp), "root": pa.array(root), "n": pa.array(n), "pos": pa.array(place, pa.int32())})
+        yield pa.RecordBatch.from_pydict({"token": pa.array(token), **given, "pos": pa.array(place, pa.int32())})
 
 
 def candidates(rows: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(a, b) of the pairs of a cell that can reach the similarity; rows come ordered by cell."""
-    token, low, high, piece, fp, root, n, pos = (c.to_numpy() for c in rows.columns)
+    """(a, b) of the pairs of a cell that its BK-tree finds and that can reach the similarity; rows come ordered by cell."""
+    token, low, high, piece, fp, root, simhash, n, pos = (c.to_numpy() for c in rows.columns)
     new = (token[1:] != token[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])
     cells = np.concatenate([[0], np.cumsum(new)])
     many = np.bincount(cells)[cells] > 1
-    order = np.lexsort((n[many], cells[many]))
-    cells, low, high, piece, fp, root, n, pos = (x[many][order] for x in (cells, low, high, piece, fp, root, n.astype(np.int64), pos.astype(np.int64)))
-    left = np.arange(len(cells))
-    step = 1
-    while len(left):
-        left = left[left + step < len(cells)]
-        right = left + step
-        # The sizes of a cell ascend: beyond the first that is too large all are.
-        stay = (cells[left] == cells[right]) & (5 * n[left] >= 4 * n[right])
-        left, right = left[stay], right[stay]
-        met = ((low[left] == high[left]) | (piece[left] != piece[right])) & (root[left] != root[right])
-        met &= 9 * np.minimum(n[left] - pos[left], n[right] - pos[right]) >= 4 * (n[left] + n[right])
-        if met.any():
-            a, b = fp[left[met]], fp[right[met]]
-            yield np.minimum(a, b), np.maximum(a, b)
-        step += 1
+    cells, low, high, piece, fp, root, simhash, n, pos = (x[many] for x in (cells, low, high, piece, fp, root, simhash.view(np.uint64), n.astype(np.int64), pos.astype(np.int64)))
+    # A cell of two pieces holds a tree of one, which the nodes of the other ask.
+    nodes, asked = np.flatnonzero(piece == low), np.flatnonzero(piece == high)
+    forest = Forest(simhash[nodes], cells[nodes])
+    steps = np.cumsum(np.bincount(cells[nodes], minlength=int(cells.max()) + 1 if len(cells) else 1)[cells[asked]])
+    start = 0
+    while start < len(asked):
+        base = steps[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(steps, base + _FRONTIER, side="right")))
+        part = asked[start:stop]
+        for q, node in forest.within(simhash[part], cells[part], np.where(n[part] <= SMALL, 64, RADIUS)):
+            left, right = part[q], nodes[node]
+            met = (root[left] != root[right]) & (5 * np.minimum(n[left], n[right]) >= 4 * np.maximum(n[left], n[right]))
+            met &= 9 * np.minimum(n[left] - pos[left], n[right] - pos[right]) >= 4 * (n[left] + n[right])
+            if met.any():
+                a, b = fp[left[met]], fp[right[met]]
+                yield np.minimum(a, b), np.maximum(a, b)
+        start = stop
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -261,15 +284,15 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def pairs(marked: DataFrame, placed: DataFrame, piece: int = PIECE) -> DataFrame:
     """(a, b) of the nodes that can reach the similarity and are not yet in one component."""
-    nodes = marked.select("fp", "n", "prefix").dropDuplicates(["fp"]).join(placed, "fp", "left")
-    nodes = nodes.select("fp", F.coalesce("root", "fp").alias("root"), "n", "prefix")
-    rows = nodes.mapInArrow(_entries, "token long, fp long, root long, n int, pos int")
+    nodes = marked.select("fp", "simhash", "n", "prefix").dropDuplicates(["fp"]).join(placed, "fp", "left")
+    nodes = nodes.select("fp", F.coalesce("root", "fp").alias("root"), "simhash", "n", "prefix")
+    rows = nodes.mapInArrow(_entries, "token long, fp long, root long, simhash long, n int, pos int")
     # Copies count as well here: more pieces than necessary do no harm.
     large = marked.select(F.explode("common").alias("token")).groupBy("token").count().filter(F.col("count") > piece)
     large = large.select("token", F.ceil(F.col("count") / piece).alias("parts"))
     rows = rows.join(large, "token", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     rows = rows.withColumn("piece", F.pmod(F.xxhash64("fp"), "parts").cast("int")).withColumn("other", F.explode(F.expr("sequence(0, CAST(parts - 1 AS INT))")))
-    cells = rows.select("token", F.least("piece", "other").alias("low"), F.greatest("piece", "other").alias("high"), "piece", "fp", "root", "n", "pos")
+    cells = rows.select("token", F.least("piece", "other").alias("low"), F.greatest("piece", "other").alias("high"), "piece", "fp", "root", "simhash", "n", "pos")
     cells = cells.repartition("token", "low", "high").sortWithinPartitions("token", "low", "high")
     return cells.mapInArrow(_meet, "a long, b long").distinct()
 

@@ -1,5 +1,8 @@
 import random
 
+import numpy as np
+import pyarrow as pa
+
 import corpus_pipeline
 from caseward.llm import similar
 from caseward.sources.shared import stored
@@ -111,3 +114,32 @@ def test_bitmap_has_the_bits_of_its_keys(spark):
     at = {r[0] for r in keys.selectExpr(f"pmod(xxhash64(_near_k, _near_t), {8 * len(bits)})").collect()}
     assert {int(8 * i + j) for i in bits.nonzero()[0] for j in range(8) if bits[i] >> j & 1} == at
     assert not similar.bitmap(keys.limit(0)).any()
+
+
+def test_trees_of_fingerprints_find_the_candidates(spark):
+    """A fingerprint is the majority of the shingles' bits; a pair beyond its radius is no candidate, and no similar pair is."""
+    rows = planted(6)
+    marked = {r["doc_id"]: r for r in similar.prefixes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for d, text in rows[::9]:
+        _, value = similar.shingle_sets(pa.array([text]))
+        bits = [sum(int(v) >> k & 1 for v in value) for k in range(64)]
+        assert marked[d]["simhash"] % (1 << 64) == sum(1 << k for k in range(64) if 2 * bits[k] > len(value))
+
+    def cell(prints, n):
+        size = len(prints)
+        columns = {"token": [7] * size, "low": [0] * size, "high": [0] * size, "piece": [0] * size, "fp": list(range(size)), "root": list(range(size))}
+        columns |= {"simhash": np.array(prints, np.uint64).view(np.int64), "n": [n] * size, "pos": [0] * size}
+        return {p for a, b in similar.candidates(pa.RecordBatch.from_pydict(columns)) for p in zip(a.tolist(), b.tolist(), strict=True)}
+
+    prints = [0, (1 << 10) - 1, (1 << 32) - 1, (1 << 64) - 1]
+    assert cell(prints, 100) == {(0, 1), (0, 2), (1, 2), (2, 3)}
+    assert len(cell(prints, similar.SMALL)) == 6
+    sets = {d: shingles(t) for d, t in rows}
+    beyond = [
+        (d, e)
+        for d in sets
+        for e in sets
+        if d < e and len(sets[d]) > similar.SMALL and 5 * len(sets[d] & sets[e]) >= 4 * len(sets[d] | sets[e])
+        and ((marked[d]["simhash"] ^ marked[e]["simhash"]) % (1 << 64)).bit_count() > similar.RADIUS
+    ]
+    assert beyond == []
