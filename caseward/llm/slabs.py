@@ -7,7 +7,10 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import SparkSession
 
+#: Bytes of an Arrow batch sent to a worker; without a limit ten thousand texts make one.
+BATCH_BYTES = 4 << 20
 #: Text bytes handled at once inside a task; one longer text makes a slab of its own.
 SLAB_BYTES = 4 << 20
 #: XXH64-like constants of the 64-bit mixers; fixed values.
@@ -19,6 +22,13 @@ def sizes_of(column: pa.Array) -> np.ndarray:
     return pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Let Spark cut Arrow batches at ``BATCH_BYTES``, unless the session names a limit itself."""
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(limit, None) is None:
+        spark.conf.set(limit, str(BATCH_BYTES))
+
+
 def give_back() -> None:
     """Return freed memory to the system: workers wait between tasks with what they hold."""
     import ctypes

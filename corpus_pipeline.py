@@ -14,6 +14,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from caseward.llm import bpe, lines, mixing, quality, similar
+from caseward.llm.slabs import bounded_batches
 from caseward.sources.shared import stored
 
 ORACLE_SQL = None
@@ -22,6 +23,7 @@ TOKENIZER = "word_bpe_49k.json"
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and the classifier."""
+    bounded_batches(spark)
     return quality.filtered(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
@@ -32,6 +34,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked by a five-word Jaccard similarity of 0.8 or more."""
+    bounded_batches(spark)
     return similar.deduplicated(docs)
 
 
@@ -42,6 +45,7 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of every document, and the text decoded from them."""
+    bounded_batches(spark)
     return bpe.encode(docs, public_tokenizers.path(TOKENIZER), decode=True)
 
 

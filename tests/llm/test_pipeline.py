@@ -1,5 +1,7 @@
 from collections import Counter
 
+import pyarrow as pa
+
 import corpus_pipeline
 from caseward.llm import lines, mixing, quality, simhash
 from caseward.sources.shared import stored
@@ -33,3 +35,15 @@ def test_stages_and_run(spark):
         docs = after
     end = corpus_pipeline.run(spark, folder)
     assert sorted(map(str, end.collect())) == sorted(map(str, docs.collect()))
+
+
+def test_texts_reach_workers_in_bounded_batches(spark):
+    docs = stored(spark.range(0, 2000, 1, 1).selectExpr("id AS doc_id", "concat(id, ' ', repeat('word ', 2000)) AS text"), "docs")
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"size": pa.array([batch.nbytes], pa.int64())})
+
+    corpus_pipeline.tokens(spark, docs, "")
+    found = [r["size"] for r in docs.mapInArrow(sizes, "size long").collect()]
+    assert sum(found) > 2000 * 10_000 and max(found) < 6 << 20
