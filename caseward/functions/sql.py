@@ -57,6 +57,11 @@ def compact(items: Sequence[str]) -> str:
     return f"array_compact(array({', '.join(items)}))"
 
 
+def some(items: Sequence[str]) -> str:
+    """Is any item not null?  Says whether :func:`compact` lists one, without building the list."""
+    return either(*[f"({item}) IS NOT NULL" for item in items])
+
+
 def severity_text(level: str) -> str:
     """Severity name of a level column."""
     return case([(f"{level} = {i}", lit(s)) for i, s in enumerate(SEVERITIES)])

@@ -15,7 +15,7 @@ from caseward.config import (
     VISIBLE_PANCREAS_POLICY,
     policy_domains,
 )
-from caseward.functions.sql import case, compact, has_field, lit, project
+from caseward.functions.sql import case, compact, has_field, lit, project, some
 from caseward.operators.compare import disagrees
 from caseward.operators.routing import deterministic_rules, missing_rules, review_rules, sorted_set, validation_rules
 
@@ -55,6 +55,9 @@ def decide_composed(aligned: DataFrame, task_mode: str | None, keep: Sequence[st
             "__hard": compact(hard_rules),
             "__missing": compact(missing_rules()),
             "__own": compact(own),
+            "__failed": some(hard_rules),
+            "__lacking": some(missing_rules()),
+            "__objected": some(own),
             "__routed": "coalesce(routing.route_to_review, false)" if "routing" in names else "false",
             "__mapped": action_of("calibrated.triage.recommendation"),
         },
@@ -73,20 +76,20 @@ def decide_composed(aligned: DataFrame, task_mode: str | None, keep: Sequence[st
         {
             "final_decision": case(
                 [
-                    ("size(__hard) > 0", "'reject'"),
-                    ("size(__missing) > 0", "'insufficient_evidence'"),
-                    ("__routed OR size(__own) > 0", "'review'"),
+                    ("__failed", "'reject'"),
+                    ("__lacking", "'insufficient_evidence'"),
+                    ("__routed OR __objected", "'review'"),
                 ],
                 "__mapped",
             )
         },
     )
-    live = "size(__hard) = 0 AND size(__missing) = 0"
+    live = "NOT __failed AND NOT __lacking"
     none = "CAST(array() AS ARRAY<STRING>)"
     trail = "concat('calibrated_recommendation_mapped:', coalesce(calibrated.triage.recommendation, 'None'), '->', __mapped)"
-    mapped = f"{live} AND NOT __routed AND size(__own) = 0"
+    mapped = f"{live} AND NOT __routed AND NOT __objected"
     rules = (
-        f"concat(__hard, CASE WHEN size(__hard) > 0 THEN {none} ELSE __missing END,"
+        f"concat(__hard, CASE WHEN __failed THEN {none} ELSE __missing END,"
         f" CASE WHEN {live} AND __routed THEN {listed} ELSE {none} END,"
         f" CASE WHEN {live} THEN __own ELSE {none} END,"
         f" CASE WHEN {mapped} THEN array({trail}) ELSE {none} END,"
@@ -95,9 +98,9 @@ def decide_composed(aligned: DataFrame, task_mode: str | None, keep: Sequence[st
     )
     basis = case(
         [
-            ("size(__hard) > 0", "'deterministic_hard_failure'"),
+            ("__failed", "'deterministic_hard_failure'"),
             ("final_decision = 'insufficient_evidence'", "'insufficient_evidence'"),
-            ("__routed OR size(__own) > 0", "'review_routing'"),
+            ("__routed OR __objected", "'review_routing'"),
         ],
         "'calibrated_qc'",
     )
@@ -105,7 +108,7 @@ def decide_composed(aligned: DataFrame, task_mode: str | None, keep: Sequence[st
         df,
         {
             "decision_basis": basis,
-            "hard_failure": "size(__hard) > 0",
+            "hard_failure": "__failed",
             "requires_human_review": "final_decision = 'review'",
             **_common(names),
             "policy_version": lit(ROUTING_POLICY_VERSION),

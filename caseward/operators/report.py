@@ -403,9 +403,29 @@ def report_pair(cases: DataFrame, deterministic: Settings, calibrated: Settings)
     """
     shared = add_subchecks(scored_cases(cases, deterministic), deterministic)
     first = finalize(add_first_triage(shared, deterministic), deterministic)
-    packed = project(first, {"deterministic": struct_of(report_columns(deterministic))}, shared.columns)
+    # Reports are built from flat columns at the end, so that Spark drops the fields nobody reads.
+    own = [c for c in first.columns if c not in shared.columns]
+    packed = project(first, {f"first__{c}": f"`{c}`" for c in own}, shared.columns)
     second = finalize(add_first_triage(packed, calibrated), calibrated)
-    return project(second, {"calibrated": struct_of(report_columns(calibrated))}, ["case_id", "deterministic"])
+    held = [*shared.columns, *[f"first__{c}" for c in own]]
+    judged = project(second, {"calibrated": struct_of(report_columns(calibrated))}, held)
+    both = project(judged, {c: f"`first__{c}`" for c in own}, [*shared.columns, "calibrated"])
+    return both.selectExpr("case_id", f"{struct_of(report_columns(deterministic))} AS deterministic", "calibrated")
+
+
+def for_decision(source: str) -> str:
+    """The report as a struct of the fields that comparison, routing and decision read."""
+    domains = {d: struct_of({f: f"{source}.qc_domains.{d}.{f}" for f in ("severity", "enabled")}) for d in DOMAINS}
+    seen = ("pancreas_present", "border_touching", "partial_visibility_likely", "anatomical_truncation_suspected")
+    return struct_of(
+        {
+            "triage": struct_of({f: f"{source}.triage.{f}" for f in ("score", "risk_level", "recommendation")}),
+            "primary_issue": struct_of({"domain": f"{source}.primary_issue.domain"}),
+            "qc_domains": struct_of(domains),
+            "target_presence": f"{source}.target_presence",
+            "measurements": struct_of({f: f"{source}.measurements.{f}" for f in seen}),
+        }
+    )
 
 
 def domains_long(reports: DataFrame) -> DataFrame:

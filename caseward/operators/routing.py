@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from caseward.config import REVIEW_RISKS, REVIEW_SEVERITIES, ROUTING_POLICY_VERSION, policy_domains
-from caseward.functions.sql import case, compact, has_field, lit, project
+from caseward.functions.sql import case, compact, has_field, lit, project, some
 from caseward.operators.compare import disagrees
 
 SIGNALS = ("uncertainty", "uncertain", "evidence_uncertainty")
@@ -115,10 +115,14 @@ def route(aligned: DataFrame, task_mode: str | None, keep: Sequence[str] = ()) -
             "__hard": compact(hard_rules),
             "__missing": compact(missing_rules()),
             "__reasons": sorted_set(compact(reasons)),
+            # The status asks for no list, and lists nobody asks for are not built.
+            "__failed": some(hard_rules),
+            "__lacking": some(missing_rules()),
+            "__reasoned": some(reasons),
         },
     )
-    hard_failure, complete = "size(__hard) > 0", "size(__missing) = 0"
-    live = f"NOT ({hard_failure}) AND {complete}"
+    hard_failure, complete = "__failed", "NOT __lacking"
+    live = f"NOT {hard_failure} AND {complete}"
     none = "CAST(array() AS ARRAY<STRING>)"
     df = project(
         df,
@@ -126,18 +130,19 @@ def route(aligned: DataFrame, task_mode: str | None, keep: Sequence[str] = ()) -
             "status": case(
                 [
                     (hard_failure, "'hard_failure'"),
-                    (f"NOT ({complete})", "'insufficient_evidence'"),
-                    ("size(__reasons) > 0", "'routed'"),
+                    ("__lacking", "'insufficient_evidence'"),
+                    ("__reasoned", "'routed'"),
                 ],
                 "'not_routed'",
             ),
+            "route_to_review": f"{live} AND __reasoned",
             "route_reasons": f"CASE WHEN {live} THEN __reasons ELSE {none} END",
         },
     )
     rules = f"concat(__hard, CASE WHEN {hard_failure} THEN {none} ELSE __missing END, route_reasons)"
     own = {
         "status": "status",
-        "route_to_review": "status = 'routed'",
+        "route_to_review": "route_to_review",
         "route_reasons": "route_reasons",
         "deterministic_recommendation": "deterministic.triage.recommendation",
         "calibrated_recommendation": "calibrated.triage.recommendation",

@@ -12,20 +12,25 @@ from functools import reduce
 from pyspark.sql import DataFrame
 
 from caseward.config import DOMAINS, TASK_NOTATION, Settings
-from caseward.plans.run import run
+from caseward.operators.decisions import decide
+from caseward.plans.run import routed
 
 
-def _outcome(table: DataFrame, profile: str) -> DataFrame:
+def _outcome(cases: DataFrame, validation: DataFrame, settings: Settings) -> DataFrame:
+    """The decision of every case under one profile; what the analysis reads is picked before the decision rules."""
     severities = ", ".join(f"'{d}', coalesce(deterministic.qc_domains.{d}.severity, 'not_applicable')" for d in DOMAINS)
-    return table.selectExpr(
+    picked = routed(cases, validation, settings, whole=False).selectExpr(
+        "*", "routing.route_to_review AS routed", f"named_struct({severities}) AS severities"
+    )
+    return decide(picked, settings.task_mode, ["routed", "severities"]).selectExpr(
         "case_id",
-        f"'{profile}' AS profile",
-        "final.final_decision AS action",
-        "final.decision_basis AS basis",
-        "final.hard_failure AS hard_failure",
-        "final.primary_domain AS primary_domain",
-        "routing.route_to_review AS routed",
-        f"named_struct({severities}) AS severities",
+        f"'{TASK_NOTATION[settings.task_mode]}' AS profile",
+        "final_decision AS action",
+        "decision_basis AS basis",
+        "hard_failure",
+        "primary_domain",
+        "routed",
+        "severities",
     )
 
 
@@ -38,5 +43,5 @@ def profile_runs(cases: DataFrame, validation: DataFrame, settings: Mapping[str,
     row alone has no domain that applies.
     """
     settings = settings or {mode: Settings(mode) for mode in TASK_NOTATION}
-    parts = [_outcome(run(cases, validation, s), TASK_NOTATION[mode]) for mode, s in settings.items()]
+    parts = [_outcome(cases, validation, s) for s in settings.values()]
     return reduce(DataFrame.unionByName, parts)

@@ -6,6 +6,8 @@ import atexit
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,6 +43,21 @@ def delete(spark: SparkSession, path: str) -> None:
         return
 
 
+@contextmanager
+def small_methods(spark: SparkSession) -> Iterator[None]:
+    """Stages whose generated methods are beyond 8000 bytes run without whole-stage code here.
+
+    The JVM never compiles such methods; the wide rule stages ran in its interpreter.
+    """
+    key = "spark.sql.codegen.hugeMethodLimit"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "8000")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 class Stored:
     """A DataFrame written as Parquet to the shared folder: lineage ends there."""
 
@@ -60,3 +77,9 @@ class Stored:
 def stored(df: DataFrame, name: str = "table") -> DataFrame:
     """Write and reread; the files live as long as the driver."""
     return Stored(df, name).read()
+
+
+def stored_rules(df: DataFrame, name: str = "table") -> DataFrame:
+    """``stored`` for the many columns of the rule stages."""
+    with small_methods(df.sparkSession):
+        return stored(df, name)

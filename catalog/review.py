@@ -17,7 +17,7 @@ from caseward.operators import routing as rt
 from caseward.operators import decisions as dc
 from caseward.operators.align import align
 from caseward.sources import derived_reports as dr
-from caseward.sources.shared import stored
+from caseward.sources.shared import small_methods, stored, stored_rules
 from oracle_sql import decisions as od
 from oracle_sql.qc import query
 
@@ -557,7 +557,7 @@ POOL = od.base(ORGAN) + od.policy_ctes() + [
 
 def matched_run(spark, sf):
     """A stored run; a case without a policy rule stops the sampling."""
-    run = stored(full_run(spark, sf, ORGAN), "run")
+    run = stored_rules(full_run(spark, sf, ORGAN), "run")
     left = dc.unmatched(run.filter("final IS NOT NULL").selectExpr("case_id", "final.matched_rule AS matched_rule")).first()
     if left is not None:
         raise ValueError(f"no policy rule for case {left['case_id']}")
@@ -785,16 +785,18 @@ def runs(spark, sf):
             f"'{d}', " + ("'not_applicable'" if d in hidden else f"coalesce(deterministic.qc_domains.{d}.severity, 'normal')")
             for d in DOMAINS
         )
-        decided = dc.decide(rt.with_routing(rows, mode), mode, ["routing", "deterministic"])
-        part = decided.selectExpr(
+        picked = rt.with_routing(rows, mode).selectExpr(
+            "*", "routing.route_to_review AS routed", f"named_struct({severities}) AS severities"
+        )
+        part = dc.decide(picked, mode, ["routed", "severities"]).selectExpr(
             "case_id",
             f"'{TASK_NOTATION[mode]}' AS profile",
             "final_decision AS action",
             "decision_basis AS basis",
             "hard_failure",
             "primary_domain",
-            "routing.route_to_review AS routed",
-            f"named_struct({severities}) AS severities",
+            "routed",
+            "severities",
         )
         out = part if out is None else out.unionByName(part)
     return out
@@ -802,7 +804,7 @@ def runs(spark, sf):
 
 def wide(spark, sf):
     """Profiles side by side, read back as the stored artifact the analysis starts from."""
-    return stored(an.side_by_side(runs(spark, sf)))
+    return stored_rules(an.side_by_side(runs(spark, sf)))
 
 
 def _suffix(ctes: list[str], tag: str, known: set[str]) -> list[str]:
@@ -915,8 +917,9 @@ def profile_table(spark, sf):
     from caseward.plans.profiles import profile_runs
     from caseward.sources.derived import case_summary
 
-    cases = stored(case_summary(spark, sf), "cases")
-    return stored(an.side_by_side(profile_runs(cases, dr.validation_rows(spark, sf))), "profiles")
+    cases = stored_rules(case_summary(spark, sf), "cases")
+    with small_methods(spark):
+        return stored(an.side_by_side(profile_runs(cases, dr.validation_rows(spark, sf))), "profiles")
 
 
 @register("a14_profile_prevalence")
