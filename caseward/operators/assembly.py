@@ -21,6 +21,7 @@ from caseward.operators.voxels import (
     per_lesion,
     region_consistency,
 )
+from caseward.sources.shared import stored
 
 #: Fields of the attenuation block, as the rules name them.
 HU_FIELDS = (
@@ -41,7 +42,7 @@ def struct(fields: dict[str, str]) -> str:
     return "named_struct(" + ", ".join(f"'{k}', {v}" for k, v in fields.items()) + ")"
 
 
-def lesion_lists(voxels: DataFrame, geometry: DataFrame, tile: int = TILE) -> DataFrame:
+def lesion_lists(voxels: DataFrame, geometry: DataFrame, tile: int = TILE, stats: DataFrame | None = None) -> DataFrame:
     """case_id, n_lesions, per_lesion: an array of lesion structs in the order of their numbers."""
     overlaps = struct({r: struct({"volume_mm3": f"{r}_mm3"}) for r in REGIONS})
     lesion = struct(
@@ -57,7 +58,7 @@ def lesion_lists(voxels: DataFrame, geometry: DataFrame, tile: int = TILE) -> Da
             "overlap_with_regions": overlaps,
         }
     )
-    rows = per_lesion(voxels, geometry, tile).selectExpr("case_id", f"{lesion} AS lesion")
+    rows = per_lesion(voxels, geometry, tile, stats).selectExpr("case_id", f"{lesion} AS lesion")
     lists = rows.groupBy("case_id").agg(F.array_sort(F.collect_list("lesion")).alias("per_lesion"))
     return lists.selectExpr("case_id", "size(per_lesion) AS n_lesions", "per_lesion")
 
@@ -84,14 +85,18 @@ def assemble(known: DataFrame, voxels: DataFrame, geometry: DataFrame, tile: int
     A case whose image cannot be read keeps its row, with null measures and the
     status ``omitted``; a case without labelled cells has zero volumes.
     """
-    stats = mask_statistics(voxels, geometry)
+    # Cells and measures are read many times over: both are made once and stored.
+    voxels = stored(voxels, "voxels")
     ends = [f"pancreas_{a}{e}" for e in ("min", "max") for a in AXES]
+    stats = mask_statistics(voxels, geometry)
+    sums = [c for c in stats.columns if c.endswith(("_sum", "_n"))]
+    stats = stored(stats.select("case_id", "voxel_mm3", "spacing_xyz", "origin_xyz", "direction", *sums, *ends), "statistics")
     boxes = stats.selectExpr("case_id", "round(lesion_sum * voxel_mm3, 4) AS lesion_total_mm3", *ends)
     parts = (
         boxes,
         region_consistency(stats),
-        overlap_analysis(voxels, geometry, tile=tile),
-        lesion_lists(voxels, geometry, tile),
+        overlap_analysis(voxels, geometry, tile=tile, stats=stats),
+        lesion_lists(voxels, geometry, tile, stats),
         hu_statistics(voxels, tile),
         _grids(geometry),
     )

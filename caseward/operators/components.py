@@ -77,15 +77,18 @@ def _positions(rows: pa.RecordBatch) -> np.ndarray:
     return np.stack([rows.column(a).to_numpy() for a in AXES], axis=1).astype(np.int64)
 
 
-def label_tiles(rows: pa.RecordBatch) -> pa.Array:
-    """Smallest cell key of each cell's 6-connected component inside its tile, for whole tiles in raster order."""
+def first_cells(rows: pa.RecordBatch) -> np.ndarray:
+    """Row of the first cell of each cell's 6-connected component inside its tile, for whole tiles in raster order."""
     tile = np.cumsum(changes(rows, TILES)) - 1
     cells = _positions(rows)
     starts, run = runs_of(cells, tile)
-    label = least_labels(len(starts), *touching_runs(cells, tile, starts))
-    first = cells[starts[label]]
-    key = ((first[:, 0] << _BITS) + first[:, 1] << _BITS) + first[:, 2]
-    return pa.array(key[run])
+    return starts[least_labels(len(starts), *touching_runs(cells, tile, starts))][run]
+
+
+def label_tiles(rows: pa.RecordBatch, first: np.ndarray) -> pa.Array:
+    """Key of the first cell of each cell's component inside its tile, the smallest one."""
+    at = _positions(rows)[first]
+    return pa.array(((at[:, 0] << _BITS) + at[:, 1] << _BITS) + at[:, 2])
 
 
 def in_tiles(cells: DataFrame) -> DataFrame:
@@ -93,26 +96,45 @@ def in_tiles(cells: DataFrame) -> DataFrame:
     return cells.repartition(*TILES).sortWithinPartitions(*TILES, *AXES)
 
 
-def label_components(cells: DataFrame, tile: int = TILE) -> DataFrame:
+def label_components(cells: DataFrame, tile: int = TILE, carry: tuple[str, ...] = ()) -> DataFrame:
     """6-connected components of distinct cells (case_id, z, y, x).
 
-    Adds ``root``: the key of the component's first cell in raster order.
+    Adds ``root``: the key of the component's first cell in raster order.  Columns
+    named in ``carry`` stay with their cells.
     """
+    local = _tile_components(cells, tile, carry)
+    merged = connected_components(_faces(local, tile), ("case_id",))
+    return _merged(local, merged).select("case_id", *AXES, *carry, "root")
+
+
+def _tile_components(cells: DataFrame, tile: int, carry: tuple[str, ...] = (), spread: tuple[str, ...] = ()) -> DataFrame:
+    """Cells with the ``root`` of their component inside their tile; a ``spread`` flag holds for a whole component if for one cell."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in whole_groups(batches, TILES):
-            yield pa.RecordBatch.from_pydict({c: rows.column(c) for c in ("case_id", *AXES)} | {"root": label_tiles(rows)})
-
-    cells = cells.selectExpr("case_id", *[f"CAST({a} AS INT) AS {a}" for a in AXES])
+            first = first_cells(rows)
+            out = {c: rows.column(c) for c in ("case_id", *AXES, *carry)} | {"root": label_tiles(rows, first)}
+            for c in spread:
+                flag = np.zeros(rows.num_rows, bool)
+                flag[first[rows.column(c).to_numpy(zero_copy_only=False)]] = True
+                out[c] = pa.array(flag[first])
+            yield pa.RecordBatch.from_pydict(out)
+
+    cells = cells.selectExpr("case_id", *[f"CAST({a} AS INT) AS {a}" for a in AXES], *carry, *spread)
     tiled = cells.select("*", *[F.floor(F.col(a) / tile).cast("int").alias(f"t{a}") for a in AXES])
-    local = stored(in_tiles(tiled).mapInArrow(run, "case_id string, z int, y int, x int, root bigint"), "tiles")
-    merged = connected_components(_faces(local, tile), ("case_id",))
-    joined = local.join(merged.withColumnRenamed("root", "label").withColumnRenamed("node", "root"), ["case_id", "root"], "left")
-    return joined.select("case_id", *AXES, F.coalesce("label", "root").alias("root"))
+    types = dict(cells.dtypes)
+    schema = ", ".join(["case_id string, z int, y int, x int", *[f"{c} {types[c]}" for c in carry], "root bigint", *[f"{c} boolean" for c in spread]])
+    return stored(in_tiles(tiled).mapInArrow(run, schema), "tiles")
+
+
+def _merged(local: DataFrame, merged: DataFrame) -> DataFrame:
+    """Rows of tile components with the ``root`` of the whole component in place of the tile's."""
+    joined = local.join(merged.withColumnsRenamed({"root": "label", "node": "root"}), ["case_id", "root"], "left")
+    return joined.withColumn("root", F.coalesce("label", "root")).drop("label")
 
 
-def _faces(local: DataFrame, tile: int) -> DataFrame:
-    """Edges (case_id, a, b) of local components that meet across a tile face.
+def _faces(local: DataFrame, tile: int, end: str = "root") -> DataFrame:
+    """Edges (case_id, a, b) of local components that meet across a tile face; ``end`` says what stands for a component.
 
     A cell at a face and the cell behind it share one key (the axis and the upper
     cell), so all three axes are one grouping; a key holds two cells at most.
@@ -123,9 +145,9 @@ def _faces(local: DataFrame, tile: int) -> DataFrame:
             upper = [f"{a} + {low}" if a == axis else a for a in AXES]
             at = f"pmod({axis}, {tile}) = {tile - 1 if low else 0}"
             ends.append(f"CASE WHEN {at} THEN named_struct('axis', '{axis}', 'z', {upper[0]}, 'y', {upper[1]}, 'x', {upper[2]}, 'low', {low}) END")
-    sides = local.selectExpr("case_id", "root", f"explode(filter(array({', '.join(ends)}), e -> e IS NOT NULL)) AS e").select("case_id", "root", "e.*")
+    sides = local.selectExpr("case_id", f"{end} AS end", f"explode(filter(array({', '.join(ends)}), e -> e IS NOT NULL)) AS e").select("case_id", "end", "e.*")
     pairs = sides.groupBy("case_id", "axis", *AXES).agg(
-        F.max(F.when(F.col("low") == 1, F.col("root"))).alias("a"), F.max(F.when(F.col("low") == 0, F.col("root"))).alias("b")
+        F.max(F.when(F.col("low") == 1, F.col("end"))).alias("a"), F.max(F.when(F.col("low") == 0, F.col("end"))).alias("b")
     )
     return pairs.filter("a IS NOT NULL AND b IS NOT NULL").select("case_id", "a", "b").distinct()
 
@@ -150,18 +172,6 @@ def number_components(labelled: DataFrame) -> DataFrame:
     )
 
 
-def _line_window(axis: str) -> Window:
-    """All cells of one grid line along an axis; never longer than the image side."""
-    return Window.partitionBy("case_id", *[a for a in AXES if a != axis]).orderBy(axis)
-
-
-def _has_both_neighbours(axis: str):
-    w = _line_window(axis)
-    return (F.coalesce(F.lag(axis).over(w) == F.col(axis) - 1, F.lit(False))) & (
-        F.coalesce(F.lead(axis).over(w) == F.col(axis) + 1, F.lit(False))
-    )
-
-
 def with_halo(cells: DataFrame, halo: str = "true", tile: int = TILE) -> DataFrame:
     """Cells with their tile (tz, ty, tx) and ``own``.
 
@@ -209,23 +219,40 @@ def erode(cells: DataFrame, tile: int = TILE) -> DataFrame:
     return in_tiles(rows).mapInArrow(run, "case_id string, z int, y int, x int")
 
 
+def _covered(mask: DataFrame) -> DataFrame:
+    """Lines (case_id, z, y) along x with the stretch of x on which all four neighbouring lines are mask or gap.
+
+    Between its first and last mask cell a line is mask or gap throughout, so the
+    neighbours' ends are enough: one row per line.  Null where a neighbour has no cell.
+    """
+    lines = mask.groupBy("case_id", "z", "y").agg(F.min("x").alias("first"), F.max("x").alias("last"))
+    for axis, other in (("y", "z"), ("z", "y")):
+        w = Window.partitionBy("case_id", other).orderBy(axis)
+        between = (F.lag(axis).over(w) == F.col(axis) - 1) & (F.lead(axis).over(w) == F.col(axis) + 1)
+        lines = lines.withColumn(f"from_{axis}", F.when(between, F.greatest(F.lag("first").over(w), F.lead("first").over(w))))
+        lines = lines.withColumn(f"to_{axis}", F.when(between, F.least(F.lag("last").over(w), F.lead("last").over(w))))
+    return lines.drop("first", "last")
+
+
 def enclosed_cells(mask: DataFrame, tile: int = TILE) -> DataFrame:
     """Background cells not 6-connected to the outside of the mask.
 
     Candidates are the gaps between two mask cells of one x-line.  A candidate is
     open when a y- or z-neighbour is neither mask nor candidate; components of
-    candidates without an open cell are holes.
+    candidates without an open cell are holes.  Tile components with an open cell
+    are open themselves, so only the others are merged: a component of them leaks
+    when it meets an open one across a tile face.
     """
-    cells = mask.select("case_id", *AXES)
-    nxt = F.lead("x").over(_line_window("x"))
-    gaps = cells.withColumn("nxt", nxt).filter("nxt > x + 1")
-    gaps = gaps.select("case_id", "z", "y", F.explode(F.expr("sequence(x + 1, nxt - 1)")).alias("x"))
-    both = cells.withColumn("gap", F.lit(False)).unionByName(gaps.withColumn("gap", F.lit(True)))
-    for axis in ("y", "z"):
-        both = both.withColumn(f"in_{axis}", _has_both_neighbours(axis))
-    candidates = both.filter("gap").select("case_id", *AXES, (~(F.col("in_y") & F.col("in_z"))).alias("open"))
-    candidates = stored(candidates, "gaps")
-    labelled = label_components(candidates.select("case_id", *AXES), tile)
-    state = labelled.join(candidates, ["case_id", *AXES])
-    closed = state.groupBy("case_id", "root").agg(F.max("open").alias("open")).filter(~F.col("open"))
-    return labelled.join(closed.select("case_id", "root"), ["case_id", "root"], "left_semi").select("case_id", *AXES)
+    cells = mask.select("case_id", *AXES).filter("case_id IS NOT NULL")
+    nxt = F.lead("x").over(Window.partitionBy("case_id", "z", "y").orderBy("x"))
+    # A left join: gaps of lines without a place (null z or y) are not lost here but refused by the labelling.
+    gaps = cells.withColumn("nxt", nxt).filter("nxt > x + 1").join(_covered(cells.na.drop()), ["case_id", "z", "y"], "left")
+    gaps = gaps.withColumn("x", F.explode(F.expr("sequence(x + 1, nxt - 1)")))
+    within = " AND ".join(f"x BETWEEN from_{a} AND to_{a}" for a in ("y", "z"))
+    candidates = gaps.selectExpr("case_id", *AXES, f"NOT coalesce({within}, false) AS open")
+    local = _tile_components(candidates, tile, spread=("open",))
+    edges = stored(_faces(local, tile, "struct(root, open)").filter("NOT (a.open AND b.open)"), "faces")
+    merged = connected_components(edges.filter("NOT (a.open OR b.open)").selectExpr("case_id", "a.root AS a", "b.root AS b"), ("case_id",))
+    leaks = edges.filter("a.open OR b.open").selectExpr("case_id", "if(a.open, b.root, a.root) AS root")
+    leaks = _merged(leaks.distinct(), merged).distinct()
+    return _merged(local.filter("NOT open"), merged).join(leaks, ["case_id", "root"], "left_anti").select("case_id", *AXES)

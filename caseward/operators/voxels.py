@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from caseward.config import (
@@ -27,6 +27,7 @@ from caseward.config import (
 from caseward.functions.batches import changes, whole_groups
 from caseward.functions.sql import case, lit, project
 from caseward.operators.components import AXES, TILE, TILES, enclosed_cells, in_tiles, label_components, number_components, surrounded, with_halo
+from caseward.sources.shared import stored
 
 MASKS = ("pancreas", "lesion", "head", "body", "tail")
 REGION_UNION = "(head > 0 OR body > 0 OR tail > 0)"
@@ -200,19 +201,28 @@ def lesion_components(voxels: DataFrame, tile: int = 32) -> DataFrame:
     return label_components(voxels.filter("lesion > 0").select("case_id", *AXES), tile)
 
 
-def per_lesion(voxels: DataFrame, geometry: DataFrame, tile: int = 32) -> DataFrame:
-    """Volume, centroid, overlaps and dominant region of every lesion component."""
-    labelled = lesion_components(voxels, tile)
-    numbers = number_components(labelled)
-    cells = voxels.filter("lesion > 0").join(labelled, ["case_id", *AXES])
-    sums = cells.groupBy("case_id", "root").agg(
-        F.count("*").alias("n"),
-        *[F.avg(a).alias(f"c{a}") for a in AXES],
-        F.expr(f"count_if({COMBINED})").alias("n_pancreas"),
-        *[F.expr(f"count_if({r} > 0)").alias(f"n_{r}") for r in REGIONS],
+def per_lesion(voxels: DataFrame, geometry: DataFrame, tile: int = 32, stats: DataFrame | None = None) -> DataFrame:
+    """Volume, centroid, overlaps and dominant region of every lesion component.
+
+    ``stats``: ``mask_statistics`` of the same tables, where already measured.
+    """
+    flags = {"in_support": COMBINED, **{f"in_{r}": f"{r} > 0" for r in REGIONS}}
+    lesion = voxels.filter("lesion > 0").selectExpr("case_id", *AXES, *[f"{sql} AS {name}" for name, sql in flags.items()])
+    labelled = label_components(lesion, tile, tuple(flags))
+    # One row per lesion, stored: its sums and its number.
+    sums = stored(
+        labelled.groupBy("case_id", "root").agg(
+            F.count("*").alias("n"),
+            *[F.avg(a).alias(f"c{a}") for a in AXES],
+            F.expr("count_if(in_support)").alias("n_pancreas"),
+            *[F.expr(f"count_if(in_{r})").alias(f"n_{r}") for r in REGIONS],
+        ),
+        "lesions",
     )
-    organ = voxels.groupBy("case_id").agg(F.sum("pancreas").alias("organ"))
-    df = sums.join(numbers, ["case_id", "root"]).join(image_grid(geometry), "case_id").join(organ, "case_id")
+    if stats is None:
+        stats = mask_statistics(voxels, geometry)
+    cases = stats.select("case_id", "voxel_mm3", "spacing_xyz", "origin_xyz", "direction", F.col("pancreas_sum").alias("organ"))
+    df = sums.join(number_components(sums), ["case_id", "root"]).join(cases, "case_id")
     df = project(
         df,
         {
@@ -249,14 +259,16 @@ def filled_support(voxels: DataFrame, tile: int = 32) -> DataFrame:
 
 
 def overlap_analysis(
-    voxels: DataFrame, geometry: DataFrame, subregions: bool = True, tile: int = 32
+    voxels: DataFrame, geometry: DataFrame, subregions: bool = True, tile: int = 32, stats: DataFrame | None = None
 ) -> DataFrame:
     """Lesion overlap with four supports and the two gain flags.
 
     Regions are available when a region mask was loaded, even an empty one: the
-    geometry rows tell, not the voxels.
+    geometry rows tell, not the voxels.  ``stats``: ``mask_statistics`` of the same
+    tables, where already measured.
     """
-    stats = mask_statistics(voxels, geometry)
+    if stats is None:
+        stats = mask_statistics(voxels, geometry)
     loaded = geometry.filter(F.col("resource").isin(*REGIONS) & F.col("exists") & F.col("readable"))
     loaded = loaded.groupBy("case_id").agg(F.count("*").alias("n_region_masks"))
     # Only lesion cells outside the combined support can gain from filled holes.
@@ -355,22 +367,18 @@ def _described(prefix: str, name: str) -> dict[str, str]:
 
 def hu_statistics(voxels: DataFrame, tile: int = TILE) -> DataFrame:
     """Robust HU statistics, attenuation class and suspicion per case."""
-    histogram = hu_histogram(voxels, tile)
-    totals = histogram.groupBy("case_id").agg(
-        F.sum("n_core").alias("core"), F.sum("n_organ").alias("organ"), F.sum("n_tumor").alias("tumor")
-    )
+    # A case has at most 65,536 rows here: one shuffle by case serves all steps.
+    case_rows = Window.partitionBy("case_id")
+    histogram = hu_histogram(voxels, tile).filter("case_id IS NOT NULL")
     # The eroded core serves when large enough, else the whole organ without tumour.
-    chosen = histogram.join(totals, "case_id").selectExpr(
+    chosen = histogram.withColumn("core", F.sum("n_core").over(case_rows)).selectExpr(
         "case_id",
         "hu",
         "n_tumor",
-        "tumor",
         f"CASE WHEN core >= {MIN_PANCREAS_VOXELS} THEN n_core ELSE n_organ END AS n_ref",
     )
-    bounds = chosen.groupBy("case_id").agg(
-        F.expr("percentile(CASE WHEN n_ref > 0 THEN hu END, array(0.05D, 0.95D), n_ref)").alias("b")
-    )
-    clipped = chosen.join(bounds, "case_id").selectExpr(
+    bounds = F.expr("percentile(CASE WHEN n_ref > 0 THEN hu END, array(0.05D, 0.95D), n_ref)").over(case_rows)
+    clipped = chosen.withColumn("b", bounds).selectExpr(
         "case_id", "hu", "n_tumor", "n_ref", "CASE WHEN hu BETWEEN b[0] AND b[1] THEN n_ref ELSE 0 END AS n_clip"
     )
     sums = clipped.groupBy("case_id").agg(

@@ -54,3 +54,16 @@ def test_decisions_start_from_voxels(spark):
     assert set(rows) == {"good", "stray", "empty", "unread"}
     assert rows["unread"]["final_decision"] == rows["stray"]["final_decision"] == "reject"
     assert rows["good"]["final_decision"] != "reject"
+
+
+def test_cells_are_made_once(spark):
+    known, voxels, geometry = tables(spark)
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    assert len(assemble(known, voxels.mapInArrow(counted, VOXEL), geometry, 4).collect()) == 4
+    assert made.value == voxels.count()

@@ -5,6 +5,7 @@ import random
 import pytest
 
 from caseward.operators import components as cc
+from caseward.operators import voxels as vx
 
 STEPS = [(1, 0, 0), (-1, 0, 0), (0, 1, 0), (0, -1, 0), (0, 0, 1), (0, 0, -1)]
 
@@ -150,3 +151,18 @@ def test_one_large_volume(spark):
     found = cc.label_components(box.unionByName(rod).distinct().selectExpr("'big' AS case_id", "z", "y", "x"))
     sizes = sorted(r["count"] for r in found.groupBy("root").count().collect())
     assert sizes == [490, 512**3 - 510**3]
+
+
+def test_holes_leak_across_tiles(spark):
+    """A tunnel through several tiles is a hole until its last cell gets a way out."""
+    block = {(z, y, x) for z in range(3) for y in range(3) for x in range(15)}
+    tunnel = {(1, 1, x) for x in range(1, 13)}
+    volumes = {"closed": block - tunnel, "leak": block - tunnel - {(1, 0, 12)}}
+    got = {tuple(r) for r in cc.enclosed_cells(frame(spark, volumes), 4).collect()}
+    assert got == {("closed", *cell) for cell in tunnel}
+
+
+def test_histogram_is_made_once(spark):
+    cells = frame(spark, {"a": volume(5, 0.8)}).selectExpr("*", "z * 10 + x AS hu", "1 AS pancreas", "int(x = 4) AS lesion")
+    plan = vx.hu_statistics(cells, 4)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1
