@@ -73,6 +73,17 @@ def project(df: DataFrame, columns: dict[str, str], keep: Sequence[str] | None =
     return df.selectExpr(*old, *[f"{sql} AS `{name}`" for name, sql in columns.items()])
 
 
+def rows_where(df: DataFrame, condition: str, columns: dict[str, str]) -> DataFrame:
+    """Named SQL columns of the rows that meet ``condition``, computed before any filter on them.
+
+    Spark moves a filter below the projections it follows and puts each name's whole
+    expression in its place.  Over the chained decision rules, where names occur many
+    times, the plan grows beyond the driver's memory.  No filter moves below ``inline``.
+    """
+    fields = ", ".join(f"'{name}', {sql}" for name, sql in columns.items())
+    return df.selectExpr(f"inline(CASE WHEN {condition} THEN array(named_struct({fields})) END)")
+
+
 def has_field(schema: StructType, path: str) -> bool:
     """Does a dotted path exist in a schema?  Arrays are stepped into."""
     node = schema

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from caseward.config import DOMAINS, TASK_MODES, TASK_NOTATION, TASK_PROFILES
-from caseward.functions.sql import project
+from caseward.functions.sql import project, rows_where
 from caseward.operators import analysis as an
 from caseward.operators import audit as au
 from caseward.operators import claims as cl
@@ -648,7 +648,8 @@ def s13(spark, sf):
 
 @register("p12_unmatched_cases", query(od.base(ORGAN) + od.policy_ctes(), "SELECT case_id FROM pz WHERE rule IS NULL"))
 def p12_unmatched(spark, sf):
-    return dc.unmatched(full_run(spark, sf, ORGAN).filter("final IS NOT NULL").selectExpr("case_id", "final.matched_rule AS matched_rule"))
+    run = full_run(spark, sf, ORGAN)
+    return dc.unmatched(rows_where(run, "final IS NOT NULL", {"case_id": "case_id", "matched_rule": "final.matched_rule"}))
 
 
 @register(
